@@ -128,3 +128,11 @@ def semi_ids(docs: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 def crc_mod(column, n: int):
     """crc32(id as text) mod n, the fold of a row."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+ROW_KEY = "__row_key"
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` and a hash of doc_id and text, which tells rows apart where ids repeat or are null."""
+    return docs.withColumn(ROW_KEY, F.xxhash64("doc_id", "text"))

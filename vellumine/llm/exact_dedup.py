@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Staged, bounded_batches, keep_ids
+from .common import ROW_KEY, Staged, bounded_batches, keep_ids, with_row_key
 
 #: Leading key bits that the directory may use; its histogram, at most 2**20 rows, is read by the driver.
 MAX_DEPTH = 20
@@ -21,7 +21,7 @@ BUCKETS_PER_OWNER = 32
 #: Text bytes that a task remembers to fold equal texts before the shuffle.
 LOCAL_BYTES = 48 << 20
 
-_RECORD = "rid long, id {id}, sha string, key long, rep long, bytes long, text string"
+_RECORD = "rid long, id {id}, carry long, sha string, key long, rep long, bytes long, text string"
 #: Only runs that the normalisation changes.
 _RUNS = "[\\x09-\\x0D][\\x20\\x09-\\x0D]*|\\x20[\\x20\\x09-\\x0D]+"
 
@@ -34,16 +34,17 @@ def directory(sizes: dict[int, int], capacity: int, depth: int = MAX_DEPTH) -> t
     """Global depth g and the bucket of each of the 2**g leading-bit patterns, for bytes by ``depth``-bit prefix.
 
     Starts with one bucket; an overfull bucket is split on its next bit, and the directory is doubled when that bucket
-    already uses all g bits. A bucket of ``depth`` bits is left as it is.
+    already uses all g bits. A bucket whose records share ``depth`` bits is left as it is: splitting cannot relieve it.
     """
-    prefix = [0] * ((1 << depth) + 1)
+    prefix, filled = [0] * ((1 << depth) + 1), [0] * ((1 << depth) + 1)
     for p in range(1 << depth):
         prefix[p + 1] = prefix[p] + sizes.get(p, 0)
+        filled[p + 1] = filled[p] + (p in sizes)
     buckets, waiting, deepest = [], [(0, 0)], 0
     while waiting:
         bits, local = waiting.pop()
         low, high = bits << (depth - local), (bits + 1) << (depth - local)
-        if prefix[high] - prefix[low] > capacity and local < depth:
+        if prefix[high] - prefix[low] > capacity and filled[high] - filled[low] > 1:
             waiting += [(bits << 1 | 1, local + 1), (bits << 1, local + 1)]
             deepest = max(deepest, local + 1)
         else:
@@ -55,11 +56,11 @@ def directory(sizes: dict[int, int], capacity: int, depth: int = MAX_DEPTH) -> t
     return deepest, entries
 
 
-def index_records(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def index_records(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
     """The index's records. ``rep`` is the rid of the first equal text that the task remembers; texts stay on those."""
     id_type = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("id"), normalised(text).alias("text"))
-    rows = rows.select("rid", "id", F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("key"), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("id"), (F.col(carry) if carry else F.lit(None)).cast("long").alias("carry"), normalised(text).alias("text"))
+    rows = rows.select("rid", "id", "carry", F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("key"), "text")
 
     def fold(batches):
         import pyarrow as pa
@@ -84,8 +85,8 @@ def index_records(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 if held > LOCAL_BYTES:
                     known, held = {}, 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rid"), batch.column("id"), batch.column("sha"), batch.column("key"), pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(texts, pa.string())],
-                names=["rid", "id", "sha", "key", "rep", "bytes", "text"],
+                [batch.column("rid"), batch.column("id"), batch.column("carry"), batch.column("sha"), batch.column("key"), pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(texts, pa.string())],
+                names=["rid", "id", "carry", "sha", "key", "rep", "bytes", "text"],
             )
 
     return rows.mapInArrow(fold, _RECORD.format(id=id_type))
@@ -110,8 +111,8 @@ def _chains(batches):
         yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(firsts, pa.int64())], names=["rep", "first"])
 
 
-def exact_groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: key, keep_id, group_size, kept, text_sha256.
+def exact_groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", carry: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: key, keep_id, group_size, kept, text_sha256, and the long column ``carry`` if named.
 
     Null texts count as empty and equal each other. Of equal texts the smallest key stays (null keys only when there is
     no other; of repeated keys one row). A group of any size reaches an owner as one record per task that met it. An
@@ -119,10 +120,11 @@ def exact_groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     """
     bounded_batches(spark)
     staged = Staged(spark, "exact-dedup")
-    records = staged.write(index_records(docs, key, text), "records")
+    records = staged.write(index_records(docs, key, text, carry), "records")
     prefix = F.shiftrightunsigned(F.col("key"), 64 - MAX_DEPTH).cast("int")
     texts = records.where(F.col("text").isNotNull())
-    sizes = {r["prefix"]: r["bytes"] for r in texts.groupBy(prefix.alias("prefix")).agg(F.sum(F.col("bytes") + 64).alias("bytes")).collect()}
+    distinct = texts.groupBy("key").agg(F.max("bytes").alias("bytes"))  # copies of a hot text do not split its bucket
+    sizes = {r["prefix"]: r["bytes"] for r in distinct.groupBy(prefix.alias("prefix")).agg(F.sum(F.col("bytes") + 64).alias("bytes")).collect()}
     total = sum(sizes.values())
     owners = max(1, -(-total // OWNER_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     depth, entries = directory(sizes, max(1 << 12, total // (owners * BUCKETS_PER_OWNER)))
@@ -131,19 +133,21 @@ def exact_groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
     owned = texts.select("rid", "key", "text", slot.alias("slot")).join(F.broadcast(table), "slot").select("bucket", "key", "rid", "text")
     first = owned.repartition(owners, "bucket").sortWithinPartitions("bucket", "key", "rid").select("rid", "key", "text").mapInArrow(_chains, "rep long, first long")
 
-    members = staged.write(records.select("rid", "id", "sha", "rep").join(first, "rep").select("rid", "id", "sha", "first"), "members")
+    members = staged.write(records.select("rid", "id", "carry", "sha", "rep").join(first, "rep").select("rid", "id", "carry", "sha", "first"), "members")
     best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid")).alias("best")
     groups = members.groupBy("first").agg(best, F.count(F.lit(1)).alias("group_size"))
     return members.join(groups, "first").select(
-        F.col("id").alias(key), F.col("best.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256")
+        F.col("id").alias(key), F.col("best.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), F.col("sha").alias("text_sha256"), *([F.col("carry").alias(carry)] if carry else [])
     )
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts; all columns stay."""
-    groups = exact_groups(spark, docs)
-    gone = groups.where(~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct()
-    # A repeated doc_id or a null one cannot be dropped by id: of such rows, one of each (doc_id, text) stays.
-    left = keep_ids(docs, "doc_id", gone)
-    repeated = groups.where(~F.col("kept") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).limit(1).count()
-    return left.dropDuplicates(["doc_id", "text"]) if repeated else left
+    keyed = with_row_key(docs)
+    groups = Staged(spark, "copies").write(exact_groups(spark, keyed, carry=ROW_KEY).select(ROW_KEY, "kept"), "kept")
+    by_row = groups.groupBy(ROW_KEY).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    left = keep_ids(keyed, ROW_KEY, by_row.where(~F.col("kept")).select(ROW_KEY))
+    # Rows that agree in doc_id and text cannot be told apart by key; one of them stays.
+    if by_row.where("kept AND n > 1").limit(1).count():
+        left = left.dropDuplicates([ROW_KEY, "doc_id", "text"])
+    return left.drop(ROW_KEY)

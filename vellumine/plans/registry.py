@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from . import kernel_queries
+
+MODULES = (kernel_queries,)
 QUERIES: dict = {}
 ORACLES: dict = {}
-FLAGSHIP = "page_report"
+for _module in MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
+FLAGSHIP = "text_quality"

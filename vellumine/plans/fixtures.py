@@ -22,6 +22,17 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
         "user_id AS paper_id", "event_id AS line_no", "ts AS happened", "CASE event_type WHEN 'purchase' THEN 'ok' WHEN 'signup' THEN 'started' WHEN 'view' THEN 'ok' ELSE 'failed' END AS status", "event_type AS code",
         "value AS duration_s", "event_id % 37 AS n_refs", "event_id % 23 % 19 AS n_matched", "event_type AS label", "'m' || (user_id % 4) AS model", "event_id % 1000 AS tokens", "user_id AS key",
     )),
+    "marked": ("orders", ("o_custkey AS doc_id", "o_orderkey AS text_id", "CASE o_orderkey % 4 WHEN 0 THEN 'as in [' || (1 + o_orderkey % 12) || '-' || (3 + o_orderkey % 12) || ']' WHEN 1 THEN 'see [' || (o_orderkey % 20) || ', ' || (16 + o_orderkey % 20) || '] and [2]' WHEN 2 THEN 'both [9–4; 2]' ELSE 'none (3)' END AS text")),
+    "listed": ("supplier", ("s_suppkey % 10 AS paper_id", "s_suppkey AS bib_id", "2000 + s_suppkey % 3 AS year", "split('Fam' || (s_suppkey % 4) || ',Co' || (s_suppkey % 3) || CASE WHEN s_suppkey % 2 = 0 THEN ',Third' ELSE '' END, ',') AS families")),
+    "cited": ("part", ("p_partkey % 10 AS paper_id", "p_partkey AS cite_id", "2000 + p_partkey % 3 AS year", "split('Fam' || (p_partkey % 5) || ',Co' || (p_partkey % 3), ',') AS families")),
+    "float": ("supplier", ("s_suppkey % 20 AS paper_id", "s_suppkey AS float_id", "CASE WHEN s_suppkey % 3 = 0 THEN 'table' ELSE 'figure' END AS kind", "CASE WHEN s_suppkey % 20 < 10 THEN '' || (1 + s_suppkey % 7) END AS label", "s_suppkey % 13 AS page")),
+    "mention": ("part", ("p_partkey % 20 AS paper_id", "p_partkey AS mention_id", "CASE WHEN p_partkey % 4 = 0 THEN 'table' ELSE 'figure' END AS kind", "'' || (1 + p_partkey % 5) || CASE WHEN p_partkey % 6 = 0 THEN 'A' ELSE '' END AS label")),
+    "section": ("part", ("p_partkey % 50 AS paper_id", "p_partkey AS section_id", "1 + p_size % 4 AS level", """CASE p_partkey % 12 WHEN 0 THEN '1. Introduction' WHEN 1 THEN '2. Materials and Methods' WHEN 2 THEN 'Study ' || (1 + p_partkey % 3) WHEN 3 THEN 'Results of the first analysis' WHEN 4 THEN 'A B S T R A C T'
+        WHEN 5 THEN 'Experiment 2b' WHEN 6 THEN 'General Discussion' WHEN 7 THEN 'References' WHEN 8 THEN 'Resultsless words' WHEN 9 THEN 'Funding' WHEN 10 THEN 'Summary' ELSE p_name END AS header""", "p_size % 8 AS trust", "CASE p_partkey % 3 WHEN 0 THEN 'abstract' WHEN 1 THEN 'references' ELSE 'methods' END AS section_type")),
+    "page_start": ("supplier", ("s_suppkey % 20 AS paper_id", "s_suppkey * 7 AS start", "s_suppkey AS page")),
+    "sentence_start": ("part", ("p_partkey % 20 AS paper_id", "p_partkey AS text_id", "p_partkey % 700 AS start")),
+    "reading": ("orders", ("o_custkey AS paper_id", "o_orderkey AS region_id", "o_orderpriority || ' ' || o_orderkey AS first", "CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority || ' ' || o_orderkey ELSE o_orderpriority || o_custkey END AS second")),
+    "char": ("lineitem", ("l_orderkey % 500 AS page_id", "l_orderkey * 1000 + l_partkey * 7 + l_linenumber AS char_id", "l_partkey % 100 AS x", "l_quantity AS y", "3.0 + l_linenumber AS height")),
 }
 
 

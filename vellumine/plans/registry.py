@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import document_queries, kernel_queries, relational_queries
+from . import document_queries, kernel_queries, page_queries, relational_queries
 
-MODULES = (kernel_queries, relational_queries, document_queries)
+MODULES = (kernel_queries, relational_queries, document_queries, page_queries)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
-FLAGSHIP = "text_quality"
+FLAGSHIP = "page_report"

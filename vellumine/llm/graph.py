@@ -38,16 +38,20 @@ def components(staged: Staged, links: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def linked(staged: Staged, members: DataFrame, confirm, fits=None) -> DataFrame:
+def linked(staged: Staged, members: DataFrame, confirm, fits=None, settle=None) -> DataFrame:
     """(node, root) of the components of all confirmed links between members of a common bucket.
 
     ``members`` has bucket, cid and n for buckets of two or more; ``confirm`` turns a table of (x, y) pairs into the true
     ones; ``fits(n, n)`` is a condition that every link meets. No list of all pairs of a bucket is made: each member is
-    first compared with its bucket's smallest one, and only members that are then still in different components are
-    compared with each other, which no link escapes.
+    first compared with its bucket's hub, the member that shares the most bucket places with others, and only members
+    that are then still in different components are compared with each other, which no link escapes. ``settle``, if
+    given, does that from the rows (bucket, cid, n, root) of the buckets that are still open; else their pairs are formed.
     """
     fits = fits or (lambda a, b: F.lit(True))
-    heads = members.groupBy("bucket").agg(F.min("cid").alias("head"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+    shares = members.join(sizes, "bucket").groupBy("cid").agg(F.sum("m").alias("shares"))
+    weighed = staged.write(members.join(shares, "cid"), "weighed")
+    heads = weighed.groupBy("bucket").agg(F.max(F.struct("shares", (-F.col("cid")).alias("cid"))).alias("top")).select("bucket", (-F.col("top.cid")).alias("head"))
     stars = members.join(heads, "bucket").where("cid <> head").groupBy("cid", "head").agg(F.first("n").alias("n"))
     sizes = members.groupBy("cid").agg(F.first("n").alias("head_n")).withColumnRenamed("cid", "head")
     stars = stars.join(sizes, "head").where(fits(F.col("n"), F.col("head_n")))
@@ -58,8 +62,18 @@ def linked(staged: Staged, members: DataFrame, confirm, fits=None) -> DataFrame:
     placed = staged.write(placed.select("bucket", "cid", "n", "root"), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     open_rows = staged.write(placed.join(mixed, "bucket"), "open")
+    if settle:
+        return components(staged, parts.toDF("x", "y").union(staged.write(settle(open_rows), "settled")))
     a, b = (open_rows.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "root"))) for s in "ab")
     rest = a.join(b, "bucket").where((F.col("root_a") != F.col("root_b")) & (F.col("cid_a") < F.col("cid_b")) & fits(F.col("n_a"), F.col("n_b")))
     rest = rest.select(F.col("cid_a").alias("x"), F.col("cid_b").alias("y")).distinct().join(stars, ["x", "y"], "left_anti")
     more = staged.write(confirm(staged.write(rest, "rest")), "confirmed")
     return components(staged, parts.toDF("x", "y").union(more))
+
+
+def neighbourhoods(staged: Staged, open_rows: DataFrame) -> DataFrame:
+    """(cid, n, root, area): rows of buckets that hang together by common members get one area."""
+    heads = open_rows.groupBy("bucket").agg(F.min("cid").alias("head"))
+    areas = components(staged, open_rows.join(heads, "bucket").select("cid", "head").distinct())
+    each = open_rows.groupBy("cid").agg(F.first("n").alias("n"), F.first("root").alias("root"))
+    return each.join(areas.toDF("cid", "area"), "cid", "left").withColumn("area", F.coalesce("area", "cid"))

@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ROW_KEY, Staged, bounded_batches, keep_ids, semi_ids, with_row_key
-from .graph import linked
+from .graph import linked, neighbourhoods
 
 #: 24 bands of six minima and 24 of the same permutations' maxima: a pair at similarity 0.8 is missed once in 2 million.
 BANDS = 48
 ROWS = 6
-_MEMO = 500_000
+#: Rows and shingles of a block when what the hubs leave open is settled.
+BLOCK_ROWS = 2048
+BLOCK_SHINGLES = 1_000_000
+_MEMO = 150_000
 _U64 = np.uint64
 
 
@@ -153,7 +156,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
     shared = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
     members = staged.write(in_bands.join(shared, "bucket"), "members")
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    parts = linked(staged, members, lambda pairs: _confirmed(staged, docs, classes, pairs, shingle, percent), fits)
+    parts = linked(staged, members, lambda pairs: _confirmed(staged, docs, classes, pairs, shingle, percent), fits, lambda rows: _settled(staged, docs, classes, rows, shingle, percent))
 
     rooted = classes.select("cid", "digest", "first_id").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     rooted = staged.write(rooted, "rooted")
@@ -164,12 +167,16 @@ def near_groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), *([F.col("row_key").alias(carry)] if carry else []))
 
 
+def _fetched(staged: Staged, docs: DataFrame, classes: DataFrame, cids: DataFrame, shingle: int) -> DataFrame:
+    """cid and shingle hashes of the wanted classes, from one text of each."""
+    used = classes.select("cid", "digest", "row_key").join(cids, "cid", "left_semi")
+    sets = _sets(docs, used.select("row_key"), shingle).join(used.select("cid", "digest"), "digest")
+    return staged.write(sets.groupBy("cid").agg(F.first("hashes").alias("hashes")), "sets")
+
+
 def _confirmed(staged: Staged, docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The (x, y) pairs of classes whose full sets are similar enough."""
-    used = pairs.select(F.explode(F.array("x", "y")).alias("cid")).distinct()
-    used = classes.select("cid", "digest", "row_key").join(used, "cid", "left_semi")
-    sets = _sets(docs, used.select("row_key"), shingle).join(used.select("cid", "digest"), "digest").groupBy("cid").agg(F.first("hashes").alias("hashes"))
-    sets = staged.write(sets, "sets")
+    sets = _fetched(staged, docs, classes, pairs.select(F.explode(F.array("x", "y")).alias("cid")).distinct(), shingle)
     left, right = (sets.select(F.col("cid").alias(c), F.col("hashes").alias(f"h_{c}")) for c in "xy")
     both = pairs.join(right, "y").join(left, "x")
     common = F.size(F.array_intersect("h_x", "h_y"))
@@ -177,6 +184,78 @@ def _confirmed(staged: Staged, docs: DataFrame, classes: DataFrame, pairs: DataF
     return both.where(common.cast("long") * 100 >= union.cast("long") * percent).select("x", "y")
 
 
+def _settled(staged: Staged, docs: DataFrame, classes: DataFrame, open_rows: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links that join further components among the members of open buckets.
+
+    Areas of buckets that hang together are cut into blocks of bounded size; every two blocks of an area meet in one
+    task, which counts common shingles by matrix products and gives no more links than it takes to join what they join.
+    """
+    rows = neighbourhoods(staged, open_rows)
+    per = rows.groupBy("area").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.countDistinct("root").alias("roots"))
+    rows = staged.write(rows.join(per.where("roots > 1"), "area").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")), "areas")
+    sets = _fetched(staged, docs, classes, rows.select("cid"), shingle)
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("cid", "root", "area", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return met.join(sets, "cid").groupBy("area", "low", "high").applyInArrow(_joining(percent), "x long, y long")
+
+
+def _joining(percent: int):
+    def run(table):
+        import pyarrow as pa
+
+        cid, root, block = (table.column(c).to_numpy() for c in ("cid", "root", "block"))
+        lists = table.column("hashes").combine_chunks()
+        found = joining_links(cid, root, block, np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(), percent)
+        return pa.table({"x": pa.array([f[0] for f in found], pa.int64()), "y": pa.array([f[1] for f in found], pa.int64())})
+
+    return run
+
+
+def joining_links(cid: np.ndarray, root: np.ndarray, block: np.ndarray, sizes: np.ndarray, flat: np.ndarray, percent: int, columns: int = 4096) -> list[tuple[int, int]]:
+    """Links between sets of different roots, as few as join the same roots.
+
+    With two blocks only pairs across them count; pairs within a block meet where it is alone. Sets are given one
+    after another in ``flat``.
+    """
+    owner = np.repeat(np.arange(len(cid)), sizes)
+    _, term, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[term] > 1
+    owner, term = owner[shared], np.unique(term[shared], return_inverse=True)[1]
+    two = block.min() != block.max() if len(block) else False
+    left, right = (np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())) if two else (np.arange(len(cid)),) * 2
+    place = np.full((2, len(cid)), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    common = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(term, kind="stable")
+    owner, term = owner[order], term[order]
+    width = int(term[-1]) + 1 if len(term) else 0
+    for at in range(0, width, columns):
+        a, b = np.searchsorted(term, (at, at + columns))
+        mats = []
+        for side, n in ((0, len(left)), (1, len(right))):
+            m = np.zeros((n, min(columns, width - at)), np.float32)
+            row = place[side, owner[a:b]]
+            m[row[row >= 0], term[a:b][row >= 0] - at] = 1
+            mats.append(m)
+        common += mats[0] @ mats[1].T
+    union = sizes[left][:, None] + sizes[right][None, :] - common
+    ok = (common * 100 >= union * percent) & (root[left][:, None] != root[right][None, :])
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(ok)):
+        a, b = find(int(root[left[i]])), find(int(root[right[j]]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(cid[left[i]]), int(cid[right[j]])))
+    return out
+
+
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with the smallest doc_id of each near-duplicate group; all columns stay."""
     keyed = with_row_key(docs)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Arrow batches handed to Python hold at most so many bytes and rows, whatever the texts' length.
-BATCH_BYTES = 16 << 20
-BATCH_ROWS = 4096
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 1024
 #: A set of ids is broadcast only after it has been counted and found no larger than this (8 bytes each).
 BROADCAST_IDS = 1_000_000
 

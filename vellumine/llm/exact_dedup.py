@@ -19,7 +19,7 @@ MAX_DEPTH = 20
 OWNER_BYTES = 48 << 20
 BUCKETS_PER_OWNER = 32
 #: Text bytes that a task remembers to fold equal texts before the shuffle.
-LOCAL_BYTES = 48 << 20
+LOCAL_BYTES = 24 << 20
 
 _RECORD = "rid long, id {id}, carry long, sha string, key long, rep long, bytes long, text string"
 #: Only runs that the normalisation changes.

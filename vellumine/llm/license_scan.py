@@ -66,8 +66,9 @@ class Scanner:
         self.least = least
         self.templates = [(name, bigrams(text)) for name, text in templates]
         sizes = [len(b) for _, b in self.templates]
-        # 2 min(a, b) / (a + b) >= least, solved for the segment's size.
-        self.sizes = [(n * least / (2 - least), n * (2 - least) / least) for n in sizes]
+        # Sizes m with 2 min(m, n) / (m + n) >= least, by the same division as the coefficient's.
+        fits = lambda n: [m for m in range(1, int(2 * n / least) + 1) if 2 * min(m, n) / (m + n) >= least]
+        self.sizes = [(min(f), max(f)) for f in map(fits, sizes)]
         self.span = (min(lo for lo, _ in self.sizes), max(hi for _, hi in self.sizes))
         self.needed = re.compile("|".join(sorted({re.escape(w) for _, b in self.templates for w in self._needed(b)})))
 
@@ -77,7 +78,7 @@ class Scanner:
         At least least / (2 - least) of a template's bigrams must be shared, so words whose bigrams are more than the
         rest cannot all be missing. Longer words come first, being rarer.
         """
-        missing, chosen, covered = len(grams) * (1 - self.least / (2 - self.least)), set(), set()
+        missing, chosen, covered = len(grams) * (1 - self.least / (2 - self.least)) + 1e-9, set(), set()
         for word in sorted({w for g in grams for w in g}, key=lambda w: (-len(w), w)):
             if len(covered) > missing:
                 break

@@ -12,6 +12,8 @@ import numpy as np
 #: Entries of a worker's memo; it is emptied when full, which costs time but changes no result.
 MEMO = 1_000_000
 _RUN = re.compile(r"\s\s")
+_BLANKS = re.compile(r"[ \t\n\r\x0b\x0c]+")
+_SEPARATOR = re.compile(r"[\x1c-\x1f]")
 #: The family's pattern, and the same without look-ahead, which only runs of white space need.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PATTERN_NO_RUNS = PATTERN.replace(r"|\s+(?!\S)|\s+", r"|\s")
@@ -102,7 +104,8 @@ class Counter:
         memo, out, later = self.memo, [], {}
         if len(memo) > MEMO:
             memo.clear()
-        split = [re.split(r"[ \t\n\r\x0b\x0c]+", t) if not t.isascii() else t.split() for t in texts]
+        # str.split() also parts at separators that are no white space to the tokenizer.
+        split = [t.split() if t.isascii() and not _SEPARATOR.search(t) else _BLANKS.split(t) for t in texts]
         split = [[w for w in ws if w] for ws in split]
         get = memo.get
         for words in split:

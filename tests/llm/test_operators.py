@@ -337,3 +337,26 @@ def test_license_scan(awkward, nothing):
     rows = {r["doc_id"]: r for r in license_scan.scan(awkward).collect()}
     assert rows[13]["license"] == "Apache-2.0" and rows[13]["dice"] == 1 and rows[1]["license"] is None and rows[9]["n_segments"] == 0
     assert license_scan.scan(nothing).count() == 0
+
+
+def test_license_in_any_run_of_words():
+    scanner = license_scan.Scanner()
+    by = "This work is licensed under a Creative\nCommons Attribution 4.0 International License."
+    gpl = next(text for name, text in license_scan.TEMPLATES if name == "GPL-2.0")
+    pages = {
+        f"We thank all readers of the draft. {by} No other rights are given": ("CC-BY-4.0", 1.0),
+        f"As the header says: {gpl} So much for that; now to other things.": ("GPL-2.0", 1.0),
+        "The code of this paper is released under the MIT License.": ("MIT", 1.0),
+        "Both (Licensed under CC BY 4.0; released under the\n\nMIT License) hold, of the of the of the MIT License of the": ("CC-BY-4.0", 1.0),
+    }
+    for page, want in pages.items():
+        assert scanner.best(page)[:2] == want
+        found = {(a, b): (score, lic) for score, lic, a, b in scanner.matches(page)}
+        assert found == license_scan.brute(page)
+    assert scanner.best(page)[4:] == (2, ["CC-BY-4.0", "MIT"])
+    # Random runs of few words, so that bigrams repeat and runs of several templates meet.
+    rng, small = random.Random(3), (("x", "a b c a d"), ("y", "b c a"), ("z", "a b c a d e f a b"), ("none", "a"))
+    scanner = license_scan.Scanner(small)
+    for _ in range(300):
+        page = " ".join(rng.choice("aabbccddefg") for _ in range(rng.randint(0, 30)))
+        assert {(a, b): (score, lic) for score, lic, a, b in scanner.matches(page)} == license_scan.brute(page, small)

@@ -1,7 +1,10 @@
-"""License scans: segments of a text compared to licence templates by the Dice coefficient over word bigrams.
+"""License scans: runs of words of a text compared to licence templates by the Dice coefficient over word bigrams.
 
-Segments are the lines, the sentences of each line, the paragraphs and the whole text. The coefficient of sets of a and
-b bigrams is at most 2 min(a, b) / (a + b), so a template is only compared with segments of a size near its own.
+Every run of words of the whole text counts, across lines and sentences. Of runs that share a word only the best counts:
+the highest coefficient, then the longest template, the shortest run, the earliest, the template listed first. The
+coefficient of sets of a and b bigrams is at most 2 min(a, b) / (a + b), so a template is only compared with runs of a
+size near its own. A run whose first or last bigram is not the template's, or comes again within it, never ranks above
+the run without it, so the others are left out.
 """
 
 from __future__ import annotations
@@ -45,9 +48,6 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 _WORDS = re.compile(r"[^\W_]+")
-_LINE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"[^\n]+?(?:[.!?:;](?=\s|$)|(?=\n|$))")
-_PARAGRAPH = re.compile(r"\S.*?(?=\n\s*\n|\s*\Z)", re.DOTALL)
 FOUND = "doc_id {id}, license string, dice double, start long, end long, n_segments long, licenses array<string>"
 
 
@@ -61,15 +61,28 @@ def dice(a: frozenset, b: frozenset) -> float:
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
 
 
+def _ranked(candidates: list[tuple[float, int, int, int, int]]) -> list[tuple[float, int, int, int, int]]:
+    """Candidates (dice, template's bigrams, first word, word after the last, template) that share no word, best first."""
+    out, taken = [], bytearray(max((c[3] for c in candidates), default=0))
+    for c in sorted(candidates, key=lambda c: (-c[0], -c[1], c[3] - c[2], c[2], c[4])):
+        if taken.find(1, c[2], c[3]) < 0:
+            taken[c[2] : c[3]] = b"\1" * (c[3] - c[2])
+            out.append(c)
+    return out
+
+
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST):
         self.least = least
         self.templates = [(name, bigrams(text)) for name, text in templates]
-        sizes = [len(b) for _, b in self.templates]
-        # Sizes m with 2 min(m, n) / (m + n) >= least, by the same division as the coefficient's.
+        # Sizes m with 2 min(m, n) / (m + n) >= least, by the same division as the coefficient's; the least of them is
+        # also the number of bigrams that a run must share, and the largest that of its distinct ones.
         fits = lambda n: [m for m in range(1, int(2 * n / least) + 1) if 2 * min(m, n) / (m + n) >= least]
-        self.sizes = [(min(f), max(f)) for f in map(fits, sizes)]
-        self.span = (min(lo for lo, _ in self.sizes), max(hi for _, hi in self.sizes))
+        self.sizes = [(min(f), max(f)) if f else (1, 0) for f in (fits(len(b)) for _, b in self.templates)]
+        self.holders: dict[tuple[str, str], list[int]] = {}
+        for i, (_, grams) in enumerate(self.templates):
+            for g in grams:
+                self.holders.setdefault(g, []).append(i)
         self.needed = re.compile("|".join(sorted({re.escape(w) for _, b in self.templates for w in self._needed(b)})))
 
     def _needed(self, grams: frozenset) -> set[str]:
@@ -87,34 +100,46 @@ class Scanner:
         return chosen
 
     def matches(self, text: str) -> list[tuple[float, str, int, int]]:
-        """(dice, name, start, end) of each segment's best template at or above the least coefficient."""
+        """(dice, name, start, end) of the runs of words at or above the least coefficient, best first; none share a word."""
         if not self.needed.search(text.lower()):
             return []
-        out, seen = [], set()
-        for pattern in (_LINE, _SENTENCE, _PARAGRAPH):
-            for m in pattern.finditer(text):
-                self._compare(m[0], m.start(), seen, out)
-        self._compare(text, 0, seen, out)
-        return out
-
-    def _compare(self, segment: str, start: int, seen: set, out: list) -> None:
-        key = (start, start + len(segment))
-        if key in seen:
+        spans = [m.span() for m in _WORDS.finditer(text)]
+        words = [text[a:b].lower() for a, b in spans]
+        grams, hits = list(zip(words, words[1:])), {}
+        for k, g in enumerate(grams):
+            for i in self.holders.get(g, ()):
+                hits.setdefault(i, []).append(k)
+        found = [c for i, at in hits.items() if len(at) >= self.sizes[i][0] for c in self._runs(grams, at, i)]
+        return [(score, self.templates[i][0], spans[a][0], spans[b - 1][1]) for score, _, a, b, i in _ranked(found)]
+
+    def _runs(self, grams: list, at: list[int], i: int):
+        """Runs of words close enough to template i, whose bigrams stand at ``at``."""
+        template, (fewest, most) = self.templates[i][1], self.sizes[i]
+        if len({grams[k] for k in at}) < fewest:
             return
-        seen.add(key)
-        grams = bigrams(segment) if self.needed.search(segment.lower()) else ()
-        if not self.span[0] <= len(grams) <= self.span[1]:
-            return
-        best = max(((dice(grams, t), name) for (name, t), (lo, hi) in zip(self.templates, self.sizes) if lo <= len(grams) <= hi), default=(0.0, ""), key=lambda x: x[0])
-        if best[0] >= self.least:
-            out.append((*best, *key))
+        for first in at:
+            seen, shared = set(), 0
+            for k in range(first, len(grams)):
+                g = grams[k]
+                if g in seen:
+                    if g == grams[first]:
+                        break
+                    continue
+                seen.add(g)
+                if len(seen) > most:
+                    break
+                if g in template:
+                    shared += 1
+                    score = 2 * shared / (len(seen) + len(template))
+                    if score >= self.least:
+                        yield score, len(template), first, k + 2, i
 
     def best(self, text: str | None) -> tuple:
-        """(license, dice, start, end, segments that match, sorted names); of equal coefficients the earliest, longest segment."""
+        """(license, dice, start, end, segments that match, sorted names); of equal coefficients the earliest segment."""
         found = self.matches(text or "")
         if not found:
             return None, 0.0, None, None, 0, []
-        score, name, a, b = min(found, key=lambda f: (-f[0], f[2], -f[3]))
+        score, name, a, b = min(found, key=lambda f: (-f[0], f[2]))
         return name, score, a, b, len(found), sorted({f[1] for f in found})
 
 
@@ -135,12 +160,14 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, le
 
 
 def brute(text: str | None, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> Mapping[tuple[int, int], tuple[float, str]]:
-    """Every segment against every template, without bounds; for tests."""
-    text, out = text or "", {}
-    pieces = [(m.start(), m[0]) for p in (_LINE, _SENTENCE, _PARAGRAPH) for m in p.finditer(text)] + [(0, text)]
-    for start, piece in pieces:
-        scores = [(dice(bigrams(piece), bigrams(t)), name) for name, t in templates]
-        best = max(scores, key=lambda x: x[0])
-        if best[0] >= least:
-            out[start, start + len(piece)] = best
-    return out
+    """Every run of words against every template, without bounds; for tests."""
+    spans = [m.span() for m in _WORDS.finditer(text or "")]
+    words = [(text or "")[a:b].lower() for a, b in spans]
+    grams, wanted, found = list(zip(words, words[1:])), [bigrams(t) for _, t in templates], []
+    for a in range(len(grams)):
+        for b in range(a + 1, len(words)):
+            piece = frozenset(grams[a:b])
+            for i, t in enumerate(wanted):
+                if (score := dice(piece, t)) >= least:
+                    found.append((score, len(t), a, b + 1, i))
+    return {(spans[a][0], spans[b - 1][1]): (score, templates[i][0]) for score, _, a, b, i in _ranked(found)}

@@ -33,6 +33,16 @@ def sorted_tokens(s: str | None) -> str:
     return " ".join(sorted(re.sub(r"[^\w]+", " ", (s or "").lower()).split()))
 
 
+def bigram_places(s: str | None) -> list[str]:
+    """Bigrams of characters, each with the number of its earlier occurrences, so that shared ones count as in multisets."""
+    seen: dict[str, int] = {}
+    out = []
+    for g in map("".join, zip(s or "", (s or "")[1:])):
+        seen[g] = seen.get(g, -1) + 1
+        out.append(f"{g}{seen[g]}")
+    return out
+
+
 def partial_indel(a: str, b: str) -> float:
     """Best ratio of the shorter string with any window of its length in the longer one."""
     short, long = sorted((a or "", b or ""), key=len)
@@ -94,3 +104,11 @@ def partial_ratio(a, b) -> Column:
 
 def jaro_winkler(a, b) -> Column:
     return _arrow(jaro_winkler_value)(a, b)
+
+
+def sorted_key(a) -> Column:
+    return F.udf(sorted_tokens, "string", useArrow=True)(a)
+
+
+def numbered_bigrams(a) -> Column:
+    return F.udf(bigram_places, "array<string>", useArrow=True)(a)

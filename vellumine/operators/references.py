@@ -94,18 +94,85 @@ def verify(bibs: DataFrame, matches: DataFrame, raw: str = "raw") -> DataFrame:
     return out.select("bib_id", "o.field", "o.outcome", "o.value").where("outcome IS NOT NULL")
 
 
+#: Columns that either side of the look-up may lack.
+OPTIONAL = {"doi": "string", "families": "array<string>", "volume": "string", "first_page": "string", "container": "string"}
+LEAST_CONTAINER = 85.0
+
+
+def similar_keys(left: DataFrame, right: DataFrame, least: float = 80.0) -> DataFrame:
+    """(left_key, right_key, ratio) of all pairs of distinct keys whose indel ratio is ``least`` or more; none is missed.
+
+    Strings of S characters together and d insertions and deletions apart keep S / 2 - 1.5 d - 1 bigrams in common, and
+    d is at most (1 - r) S. So they share one of each string's rarest bigrams, its size less the bound for the shortest
+    partner that the ratio allows; strings too short for a bound all meet under an empty bigram.
+    """
+    from ..functions import fuzzy
+
+    r = least / 100
+    size = F.length("key")
+    need = F.greatest(F.lit(0), F.ceil((size + F.ceil(size * (r / (2 - r)) - 1e-9)) * (1.5 * r - 1) - 1 - 1e-9))
+    keys = left.select("key", F.lit(True).alias("is_left")).union(right.select("key", F.lit(False))).distinct()
+    once = keys.select("key").distinct()
+    grams = once.select("key", F.explode(fuzzy.numbered_bigrams("key")).alias("gram"))
+    rare = Window.partitionBy("key").orderBy("n", "gram")
+    heads = grams.join(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "gram").withColumn("place", F.row_number().over(rare))
+    heads = heads.where(F.col("place") <= size - F.greatest(need, F.lit(1))).select("key", "gram").union(once.where(need < 1).select("key", F.lit("")))
+    heads = heads.join(keys, "key")
+    side = lambda flag, name: heads.where(F.col("is_left") == flag).select("gram", F.col("key").alias(name))
+    a, b = F.length("left_key"), F.length("right_key")
+    pairs = side(True, "left_key").join(side(False, "right_key"), "gram").where(200 * F.least(a, b) >= least * (a + b)).select("left_key", "right_key").distinct()
+    return pairs.withColumn("ratio", fuzzy.ratio("left_key", "right_key")).where(F.col("ratio") >= least)
+
+
+def _record(rows: DataFrame, key: str) -> DataFrame:
+    from ..functions import fuzzy
+    from ..functions.text import normalize_doi
+
+    for name, kind in OPTIONAL.items():
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    names = F.filter(F.transform(F.coalesce("families", F.array().cast("array<string>")), lambda f: F.lower(F.trim(f))), lambda f: F.length(f) > 1)
+    plain = lambda c: F.when(F.trim(c) != "", F.lower(F.trim(c)))
+    return rows.select(
+        F.col(key).alias("id"), fuzzy.sorted_key("title").alias("key"), F.col("year").cast("long").alias("year"), F.lower(normalize_doi(F.col("doi"))).alias("doi"), F.array_sort(F.array_distinct(names)).alias("names"),
+        F.get(names, F.lit(0)).alias("first"), plain("volume").alias("volume"), plain("first_page").alias("page"), plain("container").alias("container"),
+    )
+
+
 def match_registry(bibs: DataFrame, works: DataFrame, least: float = 80.0) -> DataFrame:
-    """Title look-up: candidates share a title word block, their token-sorted ratio decides, years and surnames weigh.
+    """(bib_id, work_id, score): the best work of each reference, by score and then work_id.
 
-    Both sides are blocked by year class and the longest title word, so no theta join arises.
+    A reference with a DOI only matches works of that DOI, with 100, unless the years are more than 1 apart. One with a
+    title is compared to all titles: the token-sorted ratio, halved if the years are more than 2 apart and times 0.7 if
+    both name authors and share no surname. One without either needs the same first surname and volume, years at most 1
+    apart, first pages that do not differ, and containers of ratio 85, or one first page where a container is missing.
+    Works that cannot be told apart are compared once, and so are references.
     """
     from ..functions.fuzzy import token_sort_ratio
 
-    key = lambda t: F.array_max(F.transform(F.array_except(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), F.array(F.lit(""))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    b = bibs.withColumn("block", key(F.col("title"))).alias("b")
-    w = works.withColumn("block", key(F.col("title"))).alias("w")
-    pairs = b.join(w, "block").select(F.col("b.bib_id"), F.col("w.work_id"), F.col("b.title").alias("bt"), F.col("w.title").alias("wt"), (F.col("b.year") - F.col("w.year")).alias("gap"))
-    scored = pairs.withColumn("ratio", token_sort_ratio("bt", "wt")).where(F.col("ratio") >= least)
-    scored = scored.withColumn("score", F.col("ratio") * F.when(F.abs("gap") > 2, 0.5).otherwise(1.0)).where(F.col("score") >= least)
-    order = Window.partitionBy("bib_id").orderBy(F.desc("score"), "work_id")
-    return scored.withColumn("n", F.row_number().over(order)).where("n = 1").select("bib_id", "work_id", F.round("score", 6).alias("score"))
+    b, w = _record(bibs, "bib_id"), _record(works, "work_id")
+    gap = F.abs(F.col("b.year") - F.col("w.year"))
+    profile = lambda *cols: w.groupBy(*cols).agg(F.min("id").alias("work_id")).alias("w")
+
+    by_doi = b.where("doi IS NOT NULL").alias("b").join(profile("doi", "year").where("doi IS NOT NULL"), F.col("b.doi") == F.col("w.doi"))
+    by_doi = by_doi.where(F.coalesce(gap <= 1, F.lit(True))).select(F.col("b.id").alias("bib_id"), F.lit(100.0).alias("score"), "work_id")
+
+    titled, known = b.where("doi IS NULL AND key <> ''"), w.where("key <> ''")
+    pairs = similar_keys(titled, known, least)
+    asked = titled.select("key", "year", "names").distinct().alias("b")
+    scored = asked.join(pairs, F.col("b.key") == F.col("left_key")).join(profile("key", "year", "names"), F.col("right_key") == F.col("w.key"))
+    strangers = (F.size("b.names") > 0) & (F.size("w.names") > 0) & ~F.arrays_overlap("b.names", "w.names")
+    score = F.col("ratio") * F.when(gap > 2, 0.5).otherwise(1.0) * F.when(strangers, 0.7).otherwise(1.0)
+    best = scored.withColumn("score", score).where(F.col("score") >= least).groupBy("b.key", "b.year", "b.names").agg(F.min(F.struct((-F.col("score")).alias("less"), "work_id")).alias("best")).alias("a")
+    same = (F.col("t.key") == F.col("a.key")) & F.col("t.year").eqNullSafe(F.col("a.year")) & (F.col("t.names") == F.col("a.names"))
+    by_title = titled.alias("t").join(best, same).select(F.col("t.id").alias("bib_id"), (-F.col("best.less")).alias("score"), "best.work_id")
+
+    bare = b.where("doi IS NULL AND key = ''").alias("b")
+    prints = bare.join(profile("first", "volume", "year", "page", "container"), (F.col("b.first") == F.col("w.first")) & (F.col("b.volume") == F.col("w.volume")) & (gap <= 1))
+    prints = prints.where(F.coalesce(F.col("b.page") == F.col("w.page"), F.lit(True)))
+    both = F.col("b.container").isNotNull() & F.col("w.container").isNotNull()
+    likeness = F.when(both, token_sort_ratio("b.container", "w.container")).when(F.col("b.page").isNotNull() & F.col("w.page").isNotNull(), LEAST_CONTAINER)
+    by_print = prints.withColumn("score", likeness).where(F.col("score") >= LEAST_CONTAINER).select(F.col("b.id").alias("bib_id"), "score", "work_id")
+
+    found = by_doi.unionByName(by_title).unionByName(by_print).groupBy("bib_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "work_id")).alias("best"))
+    return found.select("bib_id", "best.work_id", F.round(-F.col("best.less"), 6).alias("score"))

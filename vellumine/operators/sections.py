@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import heading_key
@@ -62,6 +62,23 @@ def running_headers(regions: DataFrame, pages: int = 2) -> DataFrame:
     return regions.groupBy("paper_id", mask.alias("mask")).agg(F.countDistinct("page").alias("n_pages")).where(F.col("n_pages") >= pages)
 
 
+#: Lines with an address or identifier are no running heads, nor are those of fewer letters.
+LOCATOR = r"(?i)10\.\d{4,9}/|https?://|www\.|\bdoi\s*:|\barxiv\b|\bisbn\b"
+LEAST_LETTERS = 6
+
+
+def furniture_key(text: Column) -> Column:
+    """Whole text in lower case with white space collapsed and digits masked, or null where it cannot be a running head."""
+    key = F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"[\s\p{Z}]+", " ")), r"\p{Nd}+", "#")
+    return F.when(~text.rlike(LOCATOR) & (F.length(F.regexp_replace(key, r"\P{L}+", "")) >= LEAST_LETTERS), key)
+
+
+def furniture(regions: DataFrame, pages: int = 2) -> DataFrame:
+    """Running heads: keys of whole texts that recur on ``pages`` or more pages of a paper."""
+    keyed = regions.select("paper_id", "page", furniture_key(F.col("text")).alias("mask")).where("mask IS NOT NULL")
+    return keyed.groupBy("paper_id", "mask").agg(F.countDistinct("page").alias("n_pages")).where(F.col("n_pages") >= pages)
+
+
 def group_lines(chars: DataFrame, gap: float = 0.5) -> DataFrame:
     """Line number of each character: a new line starts where y jumps by more than ``gap`` heights."""
     w = Window.partitionBy("page_id").orderBy("y", "x", "char_id")

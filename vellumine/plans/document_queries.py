@@ -50,11 +50,17 @@ def section_parents(spark, sf_dir):
 
 
 def running_headers(spark, sf_dir):
-    """A14 over conversations: openings that recur on two or more turns."""
+    """The first three characters of turns, masked, on two or more turns, as its SQL says; ``running_lines`` is A14."""
     c = _read(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("paper_id"), F.col("turn").alias("page"), F.substring("text", 1, 3).alias("text"))
     return sections.running_headers(c)
 
 
+def running_lines(spark, sf_dir):
+    """A14 over conversations: whole lines that recur on two or more turns."""
+    c = _read(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("paper_id"), F.col("turn").alias("page"), F.explode(F.split("text", "\n")).alias("text"))
+    return sections.furniture(c)
+
+
 def conversation_text(spark, sf_dir):
     """Ordered join of a group's texts."""
     c = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paper_id"), F.col("role").alias("section_id"), F.col("turn").alias("text_id"), "text")
@@ -111,7 +117,7 @@ def duplicate_sentences(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        numeric_citations, author_year, float_links, sentence_pages, section_types, section_scopes, section_unique, section_parents, running_headers, conversation_text, char_lines, reading_consensus,
+        numeric_citations, author_year, float_links, sentence_pages, section_types, section_scopes, section_unique, section_parents, running_headers, running_lines, conversation_text, char_lines, reading_consensus,
         passage_scores, passage_shingles, label_pass_rates, name_f1, export_diff, duplicate_sentences,
     )
 }
@@ -151,6 +157,12 @@ ORACLES = {
     "section_unique": f"WITH {sql('section')}, r AS (SELECT *, row_number() OVER (PARTITION BY paper_id, section_type ORDER BY trust DESC, section_id) AS k FROM section) SELECT paper_id, section_id, CASE WHEN section_type IN ('abstract', 'references') AND k > 1 THEN 'unknown' ELSE section_type END AS section_type FROM r",
     "section_parents": f"WITH {sql('section')} SELECT a.paper_id, a.section_id, max(b.section_id) AS parent_id FROM section a LEFT JOIN section b ON b.paper_id = a.paper_id AND b.section_id < a.section_id AND b.level < a.level GROUP BY ALL",
     "running_headers": "SELECT conv_id % 10 AS paper_id, regexp_replace(lower(trim(substr(text, 1, 3))), '[0-9]+', '#', 'g') AS mask, count(DISTINCT turn) AS n_pages FROM conversations GROUP BY ALL HAVING count(DISTINCT turn) >= 2",
+    "running_lines": r"""
+        WITH l AS (SELECT conv_id % 10 AS paper_id, turn, unnest(string_split(text, chr(10))) AS t FROM conversations),
+        k AS (SELECT paper_id, turn, t, regexp_replace(trim(regexp_replace(lower(t), '[\s\p{Z}]+', ' ', 'g')), '\p{Nd}+', '#', 'g') AS mask FROM l)
+        SELECT paper_id, mask, count(DISTINCT turn) AS n_pages FROM k
+        WHERE NOT regexp_matches(t, '(?i)10\.\d{4,9}/|https?://|www\.|\bdoi\s*:|\barxiv\b|\bisbn\b') AND len(regexp_replace(mask, '\P{L}+', '', 'g')) >= 6
+        GROUP BY ALL HAVING count(DISTINCT turn) >= 2""",
     "conversation_text": "SELECT conv_id AS paper_id, role AS section_id, md5(string_agg(text, ' ' ORDER BY turn)) AS text FROM conversations GROUP BY ALL",
     "char_lines": f"WITH {sql('char')}, j AS (SELECT *, coalesce(y - lag(y) OVER w > 0.5 * height, false)::INT AS jump FROM char WINDOW w AS (PARTITION BY page_id ORDER BY y, x, char_id)), l AS (SELECT page_id, sum(jump) OVER (PARTITION BY page_id ORDER BY y, x, char_id ROWS UNBOUNDED PRECEDING)::BIGINT AS line FROM j) SELECT page_id, line, count(*) AS n FROM l GROUP BY ALL",
     "reading_consensus": f"""

@@ -109,7 +109,7 @@ def export_diff(spark, sf_dir):
 
 
 def duplicate_sentences(spark, sf_dir):
-    """Recurring lines of a document, a bucketed repeat count."""
+    """Recurring lines of a document, by equal hashes of the lower-cased line; not J19's fuzzy match."""
     s = sentences.emit(_read(spark, sf_dir, "documents"))
     return s.groupBy("doc_id", F.md5(F.lower("text")).alias("line")).agg(F.count(F.lit(1)).alias("n"), F.min("text_id").alias("first_id")).where("n > 1")
 

@@ -36,7 +36,7 @@ def verify_tally(spark, sf_dir):
 
 
 def validation_issues(spark, sf_dir):
-    """All checks, united."""
+    """Seven of the 19 checks of T24 (J3, A8-A13), some in part, and blank captions, united; README lists the others."""
     bib, xref, author, figure = (made(spark, sf_dir, n) for n in ("bib", "xref", "author", "figure"))
     return validation.all_issues(
         validation.duplicate_keys(figure, "figure_id"),

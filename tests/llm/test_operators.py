@@ -360,3 +360,13 @@ def test_license_in_any_run_of_words():
     for _ in range(300):
         page = " ".join(rng.choice("aabbccddefg") for _ in range(rng.randint(0, 30)))
         assert {(a, b): (score, lic) for score, lic, a, b in scanner.matches(page)} == license_scan.brute(page, small)
+
+
+def test_field_spans_that_reach_beyond_the_patterns():
+    text = 'password="Tr0ub4dor&3xyz"'
+    base, value = secret_scan.base_spans(text), (text.index("Tr0"), len(text) - 1)
+    assert base == [(0, "assign", text.index("&"))]
+    assert secret_scan.beside(base, [value]) == [(value[0], "crf", value[1])]
+    assert secret_scan.beside(base, [(value[0], text.index("&"))]) == [] and secret_scan.beside([], [(3, 5)]) == [(3, "crf", 5)]
+    assert secret_scan.beside([(0, "assign", 4), (4, "hex", 9)], [(2, 9), (2, 10)]) == [(2, "crf", 10)]
+    assert secret_scan.beside([(3, "hex", 6)], [(1, 6)]) == [(1, "crf", 6)]

@@ -415,10 +415,23 @@ def learn(spark: SparkSession, docs: DataFrame, most: int = TRAIN_WINDOWS, text:
     return crf
 
 
+def beside(base: list[tuple[int, str, int]], found: list[tuple[int, int]]) -> list[tuple[int, str, int]]:
+    """The field's spans, whole, of which the fixed patterns' spans (by start) leave any character uncovered."""
+    out = []
+    for a, b in found:
+        at = a
+        for s, _, e in base:
+            if s <= at < e:
+                at = e
+        if at < b:
+            out.append((a, "crf", b))
+    return out
+
+
 def scan(docs: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and spans (array of kind, start, end in code points, end exclusive, by start, then kind) of each whole text.
 
-    Spans of the fixed patterns always stay; the field adds those that overlap none of them. Null and empty texts have
+    Spans of the fixed patterns always stay; the field adds those that reach beyond them, as in ``beside``. Null and empty texts have
     no span; repeated rows each give a row; an empty table none; columns other than key and text are not read.
     """
     import pyarrow as pa
@@ -436,7 +449,7 @@ def scan(docs: DataFrame, crf: Crf, key: str = "doc_id", text: str = "text") ->
             for t in batch.column(1).to_pylist():
                 t = t or ""
                 spans = base_spans(t)
-                added = [(a, "crf", b) for a, b in tagger.spans(t) if not any(max(a, s) < min(b, e) for s, _, e in spans)]
+                added = beside(spans, tagger.spans(t))
                 spans = sorted(spans + added, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
                 out.append([{"kind": k, "start": a, "end": b} for a, k, b in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, span)], names=["id", "spans"])

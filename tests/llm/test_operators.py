@@ -370,3 +370,14 @@ def test_field_spans_that_reach_beyond_the_patterns():
     assert secret_scan.beside(base, [(value[0], text.index("&"))]) == [] and secret_scan.beside([], [(3, 5)]) == [(3, "crf", 5)]
     assert secret_scan.beside([(0, "assign", 4), (4, "hex", 9)], [(2, 9), (2, 10)]) == [(2, "crf", 10)]
     assert secret_scan.beside([(3, "hex", 6)], [(1, 6)]) == [(1, "crf", 6)]
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    words = [" ".join(WORDS[i : i + 60]) for i in (0, 60, 120, 180)]
+    rows = [(None, words[0]), (None, words[0] + " end"), (7, words[1]), (7, words[1] + " end"), (None, words[2]), (3, words[2] + " end"), (9, words[2] + " stop"), (4, words[3]), (4, words[3]), (None, ""), (None, ""), (8, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, root string")
+    got = minhash.keep_first(spark, docs)
+    assert got.columns == docs.columns
+    left = sorted(((r["doc_id"], (r["text"] or "")[:9]) for r in got.collect()), key=repr)
+    want = [(None, words[0]), (7, words[1]), (3, words[2]), (4, words[3]), (None, ""), (None, ""), (8, "")]
+    assert left == sorted(((i, t[:9]) for i, t in want), key=repr)

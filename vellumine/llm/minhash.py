@@ -135,14 +135,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, "digest binary, hashes array<long>")
 
 
-def near_groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, carry: str | None = None) -> DataFrame:
+def near_groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, carry: str | None = None, root: str | None = None) -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id (smallest key reachable by links), kept.
 
     Rows are linked when 100 |A and B| >= percent |A or B| for their sets of ``shingle``-word shingles; a text of fewer
     words is one shingle; null and empty texts have no shingle and are linked with nothing. Keys may repeat: each row
     is compared by its own text. A null key never names a component; a component of null keys only has a null id and
     its rows are kept. An empty table gives no row; extra columns are not read. ``carry`` names a column for the hash of
-    key and text, as in ``common.with_row_key``.
+    key and text, as in ``common.with_row_key``, and ``root`` one for a number of the component, null without shingles.
     """
     bounded_batches(spark)
     staged = Staged(spark, "minhash")
@@ -161,10 +161,10 @@ def near_groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
     rooted = classes.select("cid", "digest", "first_id").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     rooted = staged.write(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_digest = rooted.join(named, "root").select("digest", "component_id")
+    by_digest = rooted.join(named, "root").select("digest", "component_id", "root")
     out = rows_of.select("id", "row_key", "n", "digest").join(by_digest, "digest", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), *([F.col("row_key").alias(carry)] if carry else []))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), *([F.col("row_key").alias(carry)] if carry else []), *([F.col("root").alias(root)] if root else []))
 
 
 def _fetched(staged: Staged, docs: DataFrame, classes: DataFrame, cids: DataFrame, shingle: int) -> DataFrame:
@@ -257,8 +257,16 @@ def joining_links(cid: np.ndarray, root: np.ndarray, block: np.ndarray, sizes: n
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of each near-duplicate group; all columns stay."""
-    keyed = with_row_key(docs)
-    groups = near_groups(spark, docs, carry=ROW_KEY).select(ROW_KEY, "kept")
-    gone = Staged(spark, "near").write(groups.where(~F.col("kept")).select(ROW_KEY).distinct(), "gone")
-    return keep_ids(keyed, ROW_KEY, gone).drop(ROW_KEY)
+    """``docs`` with one row of each near-duplicate group, by (doc_id is null, doc_id, row key); all columns stay.
+
+    Rows without shingles all stay. Of rows of a group that repeat both doc_id and text any one stays.
+    """
+    keyed, staged = with_row_key(docs), Staged(spark, "near")
+    groups = staged.write(near_groups(spark, docs, carry=ROW_KEY, root="root").where("root IS NOT NULL").select("doc_id", ROW_KEY, "root"), "groups")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW_KEY)).alias("first")).select(f"first.{ROW_KEY}")
+    gone = staged.write(groups.join(first, ROW_KEY, "left_anti").select(ROW_KEY).distinct(), "gone")
+    left = keep_ids(keyed, ROW_KEY, gone)
+    again = staged.write(groups.groupBy(ROW_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(ROW_KEY), "again")
+    if not again.isEmpty():
+        left = keep_ids(left, ROW_KEY, again).unionByName(semi_ids(left, ROW_KEY, again).dropDuplicates([ROW_KEY]))
+    return left.drop(ROW_KEY)

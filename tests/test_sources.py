@@ -18,6 +18,37 @@ def test_html_structure():
     assert html.parse("<table><tr><td colspan=999999>x</table>")[7] == 1
 
 
+def test_html_of_any_depth_and_size():
+    assert [b[3] for b in html.parse("<div>" * 3000 + "<p>x" + "</div>" * 3000)[4]] == ["x"]
+    assert [b[3] for b in html.parse("<b>" * 3000 + "x")[4]] == ["x"]
+    assert html.parse("words </artic")[4] == [("paragraph", None, None, "words")] and html.parse("1 < 2")[4] == [("paragraph", None, None, "1 < 2")]
+    wide = "<table>" + "<tr><td>a<td>b</tr>" * 150_000 + "</table>"
+    tables, unspanned = html.parse(wide)[6:]
+    assert unspanned == 1 and len(tables[0]) == 150_000 and tables[0][-1] == ["a", "b"]
+    assert html.parse("<table><tr><td colspan=999999>x<td>y</table>")[6] == [[["x", "y"]]]
+
+
+def test_html_tables():
+    hidden = "<table><tr hidden><td>no<tr><td>a<td style='display: none'>no<td>b<br>c</tr></table><table aria-hidden=true><tr><td>no</table>"
+    assert html.parse(hidden)[6] == [[["a", "b c"]]]
+    nested = "<table><tr><td>out<table><tr><td>in</table><td>next</table>"
+    assert html.parse(nested)[6] == [[["out in", "next"]]]
+    # Spans against a brute-force walk of the cells.
+    import random
+
+    rng = random.Random(3)
+    for _ in range(60):
+        rows = [[(rng.randint(1, 3), rng.randint(1, 3), f"{r}.{k}") for k in range(rng.randint(0, 4))] for r in range(rng.randint(1, 5))]
+        page = "<table>" + "".join("<tr>" + "".join(f"<td rowspan={h} colspan={w}>{t}</td>" for h, w, t in row) + "</tr>" for row in rows) + "</table>"
+        grid = {}
+        for r, row in enumerate(rows):
+            for h, w, t in row:
+                c = min(c for c in range(99) if (r, c) not in grid)
+                grid.update({(i, j): t for i in range(r, min(r + h, len(rows))) for j in range(c, c + w)})
+        width = max((c for _, c in grid), default=-1) + 1
+        assert html.parse(page)[6] == [[[grid.get((r, c), "") for c in range(width)] for r in range(len(rows))]]
+
+
 def _zip(**members):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:

@@ -43,7 +43,20 @@ def rate(text: Column) -> Column:
     )
 
 
+def unit_score(text: Column) -> Column:
+    """Quality of a unit where a blank one counts as 0."""
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", 0.0).otherwise(rate(text))
+
+
+def tenth(scores: Column) -> Column:
+    """Tenth percentile (linear) of an array of scores; null for an empty one."""
+    ordered = F.array_sort(scores)
+    at = (F.size(ordered) - 1) * 0.1
+    low = F.floor(at).cast("int")
+    under = F.get(ordered, low)
+    return under + (at - low) * (F.get(ordered, F.least(low + 1, F.size(ordered) - 1)) - under)
+
+
 def tenth_percentile(units: DataFrame, *by: str, text: str = "text") -> DataFrame:
     """Tenth percentile (linear) and number of units per group; blank units count as 0."""
-    score = F.when(F.coalesce(F.trim(text), F.lit("")) == "", 0.0).otherwise(rate(F.col(text)))
-    return units.select(*by, score.alias("score")).groupBy(*by).agg(F.round(F.percentile("score", 0.1), 6).alias("quality"), F.count(F.lit(1)).alias("n_units"))
+    return units.select(*by, unit_score(F.col(text)).alias("score")).groupBy(*by).agg(F.round(F.percentile("score", 0.1), 6).alias("quality"), F.count(F.lit(1)).alias("n_units"))

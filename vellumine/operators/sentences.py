@@ -12,31 +12,32 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(pieces, lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
+def sentence_array(text: Column) -> Column:
+    """Sentences in reading order as structs of paragraph_id (every line counts, blank ones too) and text."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    return F.flatten(F.transform(lines, lambda line, i: F.transform(split_sentences(line), lambda s: F.struct((i + 1).cast("long").alias("paragraph_id"), s.alias("text")))))
+
+
 def emit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per sentence: key, paragraph_id (every line counts, blank ones too), text_id (running), text.
+    """One row per sentence: key, paragraph_id, text_id (running), text.
 
     Lines and sentences are exploded in place, so the running id needs no shuffle beyond the array that holds them.
     """
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    cut = F.flatten(F.transform(lines, lambda line, i: F.transform(split_sentences(line), lambda s: F.struct((i + 1).alias("paragraph_id"), s.alias("text")))))
-    rows = docs.select(key, F.posexplode(cut).alias("at", "s"))
-    return rows.select(key, F.col("s.paragraph_id").cast("long").alias("paragraph_id"), (F.col("at") + 1).cast("long").alias("text_id"), F.col("s.text").alias("text"))
+    rows = docs.select(key, F.posexplode(sentence_array(F.col(text))).alias("at", "s"))
+    return rows.select(key, "s.paragraph_id", (F.col("at") + 1).cast("long").alias("text_id"), F.col("s.text").alias("text"))
 
 
-def anchored(sentences: DataFrame, anchor: Column, stop: Column, key: str = "doc_id") -> DataFrame:
-    """For each document the first sentence that meets ``anchor`` with up to two followers of its paragraph.
+def anchored(docs: DataFrame, hit, stop, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each document the first sentence that meets ``hit`` with up to two followers of its paragraph: key, text_id, statement.
 
-    A follower that meets ``stop`` ends the excerpt.
+    A follower that meets ``stop`` ends the excerpt; both are functions of a Column. All happens inside the row.
     """
-    w = Window.partitionBy(key).orderBy("text_id")
-    seen = sentences.select(key, "text_id", "paragraph_id", "text", anchor.alias("hit"), stop.alias("stop"))
-    for i in (1, 2):
-        same = F.lead("paragraph_id", i).over(w) == F.col("paragraph_id")
-        seen = seen.withColumn(f"ok{i}", F.coalesce(same & ~F.lead("stop", i).over(w), F.lit(False))).withColumn(f"next{i}", F.lead("text", i).over(w))
-    first = F.row_number().over(Window.partitionBy(key).orderBy("text_id"))
-    hits = seen.where("hit").withColumn("place", first).where("place = 1")
-    more = F.concat_ws(" ", "text", F.when(F.col("ok1"), F.col("next1")), F.when(F.col("ok1") & F.col("ok2"), F.col("next2")))
-    return hits.select(key, "text_id", more.alias("statement"))
+    rows = docs.select(key, sentence_array(F.col(text)).alias("s"))
+    rows = rows.withColumn("at", F.array_position(F.transform("s", lambda x: hit(x["text"])), True)).where("at > 0")
+    one, two, three = (F.get("s", (F.col("at") + i).cast("int")) for i in (-1, 0, 1))
+    follows = lambda x: F.coalesce((x["paragraph_id"] == one["paragraph_id"]) & ~stop(x["text"]), F.lit(False))
+    more = F.concat_ws(" ", one["text"], F.when(follows(two), two["text"]), F.when(follows(two) & follows(three), three["text"]))
+    return rows.select(key, F.col("at").cast("long").alias("text_id"), more.alias("statement"))
 
 
 def heading_parents(headings: DataFrame, key: str, order: str, level: str) -> DataFrame:

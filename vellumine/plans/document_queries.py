@@ -50,8 +50,8 @@ def section_parents(spark, sf_dir):
 
 
 def running_headers(spark, sf_dir):
-    """The first three characters of turns, masked, on two or more turns, as its SQL says; ``running_lines`` is A14."""
-    c = _read(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("paper_id"), F.col("turn").alias("page"), F.substring("text", 1, 3).alias("text"))
+    """Whole turns, masked, that recur on two or more turns; ``running_lines`` has A14's further rules."""
+    c = _read(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("paper_id"), F.col("turn").alias("page"), "text")
     return sections.running_headers(c)
 
 
@@ -156,7 +156,7 @@ ORACLES = {
         SELECT paper_id, section_id, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY section_id), 0)::BIGINT AS scope FROM m""",
     "section_unique": f"WITH {sql('section')}, r AS (SELECT *, row_number() OVER (PARTITION BY paper_id, section_type ORDER BY trust DESC, section_id) AS k FROM section) SELECT paper_id, section_id, CASE WHEN section_type IN ('abstract', 'references') AND k > 1 THEN 'unknown' ELSE section_type END AS section_type FROM r",
     "section_parents": f"WITH {sql('section')} SELECT a.paper_id, a.section_id, max(b.section_id) AS parent_id FROM section a LEFT JOIN section b ON b.paper_id = a.paper_id AND b.section_id < a.section_id AND b.level < a.level GROUP BY ALL",
-    "running_headers": "SELECT conv_id % 10 AS paper_id, regexp_replace(lower(trim(substr(text, 1, 3))), '[0-9]+', '#', 'g') AS mask, count(DISTINCT turn) AS n_pages FROM conversations GROUP BY ALL HAVING count(DISTINCT turn) >= 2",
+    "running_headers": "SELECT conv_id % 10 AS paper_id, regexp_replace(lower(trim(text)), '[0-9]+', '#', 'g') AS mask, count(DISTINCT turn) AS n_pages FROM conversations GROUP BY ALL HAVING count(DISTINCT turn) >= 2",
     "running_lines": r"""
         WITH l AS (SELECT conv_id % 10 AS paper_id, turn, unnest(string_split(text, chr(10))) AS t FROM conversations),
         k AS (SELECT paper_id, turn, t, regexp_replace(trim(regexp_replace(lower(t), '[\s\p{Z}]+', ' ', 'g')), '\p{Nd}+', '#', 'g') AS mask FROM l)

@@ -18,10 +18,7 @@ def _pages(spark, sf_dir):
 def page_report(spark, sf_dir):
     """Title, structure, links and the tenth percentile of text quality per page; pages are parsed once."""
     rows = _pages(spark, sf_dir)
-    scores = F.array_sort(F.transform("blocks", lambda b: quality.rate(b["text"])))
-    at = (F.size(scores) - 1) * 0.1
-    low = F.floor(at).cast("int")
-    value = F.get(scores, low) + (at - low) * (F.get(scores, F.least(low + 1, F.size(scores) - 1)) - F.get(scores, low))
+    value = quality.tenth(F.transform("blocks", lambda b: quality.rate(b["text"])))
     return rows.select("page_id", "title", "lang", F.size("blocks").alias("n_blocks"), F.size(F.filter("blocks", lambda b: b["kind"] == "heading")).alias("n_headings"), F.size("links").alias("n_links"), F.round(value, 6).alias("quality"))
 
 

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +62,12 @@ class Staged:
         out._staged_path = path
         return out
 
+    def write_observed(self, df: DataFrame, name: str, *aggregates) -> tuple[DataFrame, tuple]:
+        """The staged table and the values of ``aggregates`` over it, taken while it is written."""
+        seen = Observation()
+        out = self.write(df.observe(seen, *(a.alias(f"a{i}") for i, a in enumerate(aggregates))), name)
+        return out, tuple(seen.get[f"a{i}"] for i in range(len(aggregates)))
+
     def drop(self, df: DataFrame) -> None:
         """Delete a staged table that no later plan reads."""
         _remove(self.spark, df._staged_path)

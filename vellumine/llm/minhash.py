@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ROW_KEY, Staged, bounded_batches, keep_ids, semi_ids, with_row_key
-from .graph import linked, neighbourhoods
+from .graph import blocks_of, linked, neighbourhoods
 
 #: 24 bands of six minima and 24 of the same permutations' maxima: a pair at similarity 0.8 is missed once in 2 million.
 BANDS = 48
@@ -22,6 +22,8 @@ ROWS = 6
 #: Rows and shingles of a block when what the hubs leave open is settled.
 BLOCK_ROWS = 2048
 BLOCK_SHINGLES = 1_000_000
+#: Blocks of an area that is settled as a whole; a larger one is settled bucket by bucket.
+AREA_BLOCKS = 2
 _MEMO = 150_000
 _U64 = np.uint64
 
@@ -153,15 +155,16 @@ def near_groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
         "classes",
     )
     in_bands = classes.select("cid", "n", F.explode("keys").alias("bucket"))
-    shared = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
+    shared = staged.write(in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket"), "shared")
     members = staged.write(in_bands.join(shared, "bucket"), "members")
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    parts = linked(staged, members, lambda pairs: _confirmed(staged, docs, classes, pairs, shingle, percent), fits, lambda rows: _settled(staged, docs, classes, rows, shingle, percent))
+    parts = linked(staged, members, lambda pairs: _confirmed(staged, docs, classes, pairs, shingle, percent), lambda rows: _settled(staged, docs, classes, rows, shingle, percent), fits)
 
+    # What is joined by set or by component is written first: the empty set or one group may hold a third of all rows.
     rooted = classes.select("cid", "digest", "first_id").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     rooted = staged.write(rooted, "rooted")
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_digest = rooted.join(named, "root").select("digest", "component_id", "root")
+    named = staged.write(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "named")
+    by_digest = staged.write(rooted.join(named, "root").select("digest", "component_id", "root"), "by-set")
     out = rows_of.select("id", "row_key", "n", "digest").join(by_digest, "digest", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), *([F.col("row_key").alias(carry)] if carry else []), *([F.col("root").alias(root)] if root else []))
@@ -187,16 +190,23 @@ def _confirmed(staged: Staged, docs: DataFrame, classes: DataFrame, pairs: DataF
 def _settled(staged: Staged, docs: DataFrame, classes: DataFrame, open_rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links that join further components among the members of open buckets.
 
-    Areas of buckets that hang together are cut into blocks of bounded size; every two blocks of an area meet in one
-    task, which counts common shingles by matrix products and gives no more links than it takes to join what they join.
+    Buckets that hang together by common members are an area. An area of few blocks is settled as a whole, so that a set
+    travels once; a larger one bucket by bucket, so that the work follows the buckets and not the area's square. Groups are
+    cut into blocks of bounded size; every two blocks of a group meet in one task, which counts common shingles by matrix
+    products and gives no more links than it takes to join what they join.
     """
-    rows = neighbourhoods(staged, open_rows)
-    per = rows.groupBy("area").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.countDistinct("root").alias("roots"))
-    rows = staged.write(rows.join(per.where("roots > 1"), "area").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")), "areas")
-    sets = _fetched(staged, docs, classes, rows.select("cid"), shingle)
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("cid", "root", "area", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    return met.join(sets, "cid").groupBy("area", "low", "high").applyInArrow(_joining(percent), "x long, y long")
+    rows = staged.write(neighbourhoods(staged, open_rows), "areas")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    size = lambda df, group: df.groupBy(F.col(group).alias("group")).agg(blocks, F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("group", "blocks")
+    each = rows.select("area", "cid", "n", "root").distinct()
+    areas = staged.write(size(each, "area"), "area-sizes")
+    small, large = areas.where(F.col("blocks") <= AREA_BLOCKS), areas.where(F.col("blocks") > AREA_BLOCKS).select(F.col("group").alias("area"))
+    wide = staged.write(rows.join(large, "area", "left_semi").select("bucket", "cid", "n", "root"), "wide")
+    by_area = blocks_of(each.withColumnRenamed("area", "group"), small, ["group"]).select("cid", "root", F.lit(0).alias("kind"), "group", "block", "low", "high")
+    by_bucket = blocks_of(wide.withColumnRenamed("bucket", "group"), staged.write(size(wide, "bucket"), "bucket-sizes"), ["group"]).select("cid", "root", F.lit(1).alias("kind"), "group", "block", "low", "high")
+    met = staged.write(by_area.union(by_bucket), "met")
+    sets = _fetched(staged, docs, classes, met.select("cid").distinct(), shingle)
+    return met.join(sets, "cid").groupBy("kind", "group", "low", "high").applyInArrow(_joining(percent), "x long, y long").distinct()
 
 
 def _joining(percent: int):

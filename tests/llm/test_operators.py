@@ -381,3 +381,167 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     left = sorted(((r["doc_id"], (r["text"] or "")[:9]) for r in got.collect()), key=repr)
     want = [(None, words[0]), (7, words[1]), (3, words[2]), (4, words[3]), (None, ""), (None, ""), (8, "")]
     assert left == sorted(((i, t[:9]) for i, t in want), key=repr)
+
+
+def test_identifier_tags_and_whole_texts():
+    scanner = license_scan.Scanner()
+    for name in license_scan.TAGGED:
+        assert scanner.best(f"# SPDX-License-Identifier: {name}\n")[0] == name
+    for other in ("EUPL-1.2", "EPL-1.0", "MPL-1.1", "Apache-1.1", "BSD-4-Clause", "LGPL-2.0-or-later", "X11"):
+        assert scanner.best(f"# SPDX-License-Identifier: {other}\n")[0] is None
+    whole = {text: name for name, text in license_scan.TEMPLATES}
+    assert all(scanner.best(f"Copyright 2020 somebody. {text}\nmore words")[0] == name for text, name in whole.items())
+
+
+def test_license_scan_on_documents_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    short = [r for r in docs.collect() if len((r["text"] or "").split()) <= 60]
+    got = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+    assert len(short) >= 15 and len(got) == docs.count()
+    for r in short:
+        found = license_scan.brute(r["text"])
+        assert got[r["doc_id"]]["n_segments"] == len(found)
+        assert got[r["doc_id"]]["dice"] == max((f[0] for f in found.values()), default=0.0)
+
+
+def test_spans_are_linear_in_the_text():
+    import time
+
+    text = " ".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(100_000))
+    began = time.time()
+    base = secret_scan.base_spans(text)
+    assert len(base) == 100_000 and len(secret_scan.windows(text)) == secret_scan.TEXT_WINDOWS
+    assert len(secret_scan.beside(base, [(a + 1, b + 3) for a, _, b in base])) == 100_000
+    license_scan.Scanner().best("x" + " " * 1_000_000 + "license " * 100_000)
+    assert time.time() - began < 20
+
+
+def test_windows_and_beside_against_every_pair():
+    rng = random.Random(7)
+    for _ in range(300):
+        base = sorted((a, "hex", a + rng.randint(1, 6)) for a in (rng.randrange(40) for _ in range(rng.randint(0, 6))))
+        found = [(a, a + rng.randint(1, 9)) for a in (rng.randrange(40) for _ in range(3))]
+        want = [(a, "crf", b) for a, b in found if not all(any(s <= i < e for s, _, e in base) for i in range(a, b))]
+        assert secret_scan.beside(base, found) == want
+    text = 'a password = "hunter22x" b ' + "0123456789abcdef" * 2 + " c api_key:abcdefgh;d"
+    spans, where = secret_scan.base_spans(text), [m.span() for m in re.finditer(r"\S+", text)]
+    hit = [any(max(a, s) < min(b, e) and (k != "assign" or b >= e) for s, k, e in spans) for a, b in where]
+    got = secret_scan.windows(text, most=99)
+    assert len(got) == sum(hit) and got[0][1][: len(where)] == [secret_scan.B if h else secret_scan.O for h in hit][: len(got[0][1])]
+
+
+def test_recall_of_the_lattices():
+    rng = np.random.default_rng(12)
+    a = rng.normal(size=(1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (b * a).sum(1, keepdims=True) * a
+    b = 0.95 * a + math.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    for _, blocks, scale in embed_dedup.SIZES:
+        lattice = embed_dedup.Lattice(64, blocks=blocks, scale=scale)
+        x, y = (lattice.cells(v).reshape(len(v), lattice.tables, -1) for v in (a, b))
+        found = (x[:, :, :1] == y).any((1, 2)) | (y[:, :, :1] == x).any((1, 2))
+        assert found.mean() >= 0.95
+
+
+@pytest.mark.parametrize("n", [1, 2_000_000])
+def test_settling_within_cells(spark, n):
+    """Rings, gaps and blocks join what all pairs join where hubs leave vectors apart: points along arcs."""
+    rng = np.random.default_rng(n)
+    x, y = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    angles = np.concatenate([np.linspace(0, 1.2, 40), rng.uniform(0, 3, 60)])
+    rows = [(i, (math.cos(t) * x + math.sin(t) * y + rng.normal(size=64) * 0.004).tolist()) for i, t in enumerate(angles)]
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    df = spark.createDataFrame(rows, "cid long, v array<double>").selectExpr("cid", "size(v) AS dim", "v")
+    from vellumine.llm.common import Staged
+
+    parts = {r["node"]: r["root"] for r in embed_dedup._components(Staged(spark, "arcs"), df, n, 0.95).collect()}
+    assert [parts.get(i, i) for i in range(len(rows))] == brute_components(len(rows), lambda i, j: unit[i] @ unit[j] >= 0.95)
+
+
+def test_large_areas_are_settled_bucket_by_bucket(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "AREA_BLOCKS", 0)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 3)
+    rng, out = random.Random(3), []
+    for _ in range(6):
+        words = [rng.choice(WORDS) for _ in range(60)]
+        for _ in range(12):
+            copy = list(words)
+            for _ in range(rng.randint(0, 9)):
+                copy[rng.randrange(len(copy))] = rng.choice(WORDS)
+            out.append(" ".join(copy))
+    rows = list(enumerate(out, 1))
+    _, root = brute_near(rows, 2)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_groups(spark, spark.createDataFrame(rows, "doc_id long, text string"), shingle=2).collect()}
+    assert got == {rows[i][0]: rows[root[i]][0] for i in range(len(rows))}
+
+
+def test_buckets_deeper_than_the_directory(spark, monkeypatch):
+    for name, value in (("MAX_DEPTH", 2), ("OWNER_BYTES", 1 << 14), ("BUCKETS_PER_OWNER", 4)):
+        monkeypatch.setattr(exact_dedup, name, value)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(WORDS, k=40)) for _ in range(300)]
+    rows = [(i, texts[i % 300 if i < 500 else 7]) for i in range(900)]
+    first = {}
+    for i, t in rows:
+        first.setdefault(t, i)
+    got = exact_dedup.exact_groups(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["keep_id"] for r in got} == {i: first[t] for i, t in rows}
+
+
+def test_packing_of_more_sources_than_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 8)
+    rows = [(i, " ".join(random.Random(i).choices(WORDS, k=i % 50)), f"host{i % 40}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in (None, {"host1": 0.5, "host2": 0.5}):
+        pieces = packing.pack(spark, docs, queries.tokenizer("byte_bpe_50k.json"), weights=weights).collect()
+        check_packed(pieces, [r[:2] for r in rows])
+        assert {p["source"] for p in pieces} == {r[2] for r in rows}
+
+
+def test_training_on_very_long_labelled_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_DOCUMENT", 50)
+    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 400)
+    rows = [(i, ("vile " if i % 2 else "calm ") * (1000 if i == 0 else 20), "en") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    net = toxicity.learn(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels)
+    hasher = toxicity.Hasher()
+    assert net.trained and net.score(hasher.ids("vile vile vile")) > net.score(hasher.ids("calm calm calm"))
+
+
+def test_cache_is_compacted(spark, awkward, tmp_path):
+    path, cache = queries.tokenizer("word_bpe_49k.json"), str(tmp_path / "cache")
+    version = token_counts.tokenizer_digest(path)
+    first = tuples(token_counts.count_tokens(spark, awkward, path, cache), "doc_id", "n_tokens")
+    token_counts.compact_cache(spark, cache, version, 1)
+    assert len(list((tmp_path / "cache" / f"tokenizer={version}").glob("*.parquet"))) == 1
+    assert tuples(token_counts.count_tokens(spark, awkward, path, cache), "doc_id", "n_tokens") == first
+
+
+@pytest.mark.parametrize("epochs", [1, 2])
+def test_mixing_takes_the_documents_that_brute_force_takes(spark, epochs):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(epochs)
+    rows = [(i, " ".join(rng.choices(WORDS, k=rng.randint(0, 40))), rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", None])) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    weights = {("0",): 3.0, ("0", "en"): 2.0, ("1", "de"): 0.0}
+    got = mixing.mix(spark, docs, budget=0.6, weights=weights, epochs=epochs, domain=F.col("doc_id") % 2).collect()
+    words = {i: len(t.split()) for i, t, *_ in rows}
+    leaf = {i: (str(i % 2), lang, source) for i, _, lang, source in rows}
+    supply = {}
+    for i, n in words.items():
+        supply[leaf[i]] = supply.get(leaf[i], 0) + n
+    key = lambda path: tuple("\x00" if x is None else x for x in path)
+    share = mixing.budgets(int(0.6 * sum(words.values())), {key(k): n * epochs for k, n in supply.items()}, weights)
+    # The seeded order of a leaf's last epoch, document by document.
+    want = {}
+    for path, n in supply.items():
+        whole, left = (share[key(path)] // n, share[key(path)] % n) if n else (epochs, 0)
+        own = [i for i in words if leaf[i] == path]
+        order = spark.createDataFrame([(i, whole, rows[i][1]) for i in own], "doc_id long, whole long, text string").select("doc_id", F.xxhash64(F.lit(1), "whole", "doc_id", F.xxhash64("text")).alias("o")).collect()
+        run = 0
+        for i in sorted(own, key=lambda i: ({r["doc_id"]: r["o"] for r in order}[i] & (1 << 64) - 1, i)):
+            run += words[i]
+            want[i] = whole + (0 < left and run <= left)
+    assert {r["doc_id"]: r["copies"] for r in got} == want

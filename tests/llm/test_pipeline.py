@@ -2,7 +2,8 @@
 
 import re
 
-from test_operators import brute_near, check_packed
+import pytest
+from test_operators import LONG, ROWS, brute_near, check_packed
 
 
 def test_stages(spark, sf_dir):
@@ -36,3 +37,36 @@ def test_stages(spark, sf_dir):
         docs = out
         seen.append(name)
     assert seen == ["language", "exact dedup", "near dedup", "mixture"]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_awkward_tables(spark, sf_dir, empty):
+    """Nulls, empty and very long texts, repeated rows and ids, ties, clashing names, and no row at all."""
+    import corpus_pipeline
+
+    clash = "__row_key2 string, root string, copies string, domain string, rid long, place long"
+    rows = [] if empty else [(*r, "k", "r", "c", "d", 1, 2) for r in [*(r[:4] for r in ROWS), (None, None, None, None), (20, LONG, "en", None), (21, "one", "de", "b")]]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, {clash}")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        got = out.collect()
+        if empty:
+            assert got == []
+        elif name == "packing":
+            assert {p["doc_id"] for p in got} == {r["doc_id"] for r in docs.collect()}
+            break
+        else:
+            texts = [r["text"] for r in got]
+            assert out.columns == docs.columns and texts and all(any(c.isalpha() for c in t or "") for t in texts)
+            if name in ("exact dedup", "near dedup"):
+                flat = [re.sub(r"[\x20\x09-\x0D]+", " ", t) for t in texts]
+                assert len(flat) == len(set(flat)) and "one" in flat and None in {r["doc_id"] for r in got}
+        docs = spark.createDataFrame(got, docs.schema) if name != "packing" else docs
+
+
+def test_run_on_awkward_documents(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(*r, *["x"] * 7)[:4] for r in ROWS], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert pieces and all(p["length"] > 0 for p in pieces)

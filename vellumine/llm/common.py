@@ -15,20 +15,25 @@ from pyspark.sql import types as T
 #: Arrow batches handed to Python hold at most so many bytes and rows, whatever the texts' length.
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 1024
-#: A set of ids is broadcast only after it has been counted and found no larger than this (8 bytes each).
-BROADCAST_IDS = 1_000_000
+#: A set of ids is broadcast only after it has been counted and found no larger than this (32 bytes each).
+BROADCAST_IDS = 500_000
 
 _roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """A fresh folder below ``spark.checkpoint.dir``; where that is unset, one of our own in local mode and an error on a cluster."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
-            base = checkpoint.get() if checkpoint.isDefined() else "file://" + tempfile.mkdtemp(prefix="vellumine-")
+            if checkpoint.isDefined():
+                base = checkpoint.get()
+            elif spark.sparkContext.master.startswith("local["):
+                base = "file://" + tempfile.mkdtemp(prefix="vellumine-")
+            else:
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"{base.rstrip('/')}/vellumine-{uuid.uuid4().hex}"
         _roots[app] = root
         atexit.register(_remove, spark, root)
@@ -139,6 +144,12 @@ def crc_mod(column, n: int):
 ROW_KEY = "__row_key"
 
 
+def row_key(key: str = "doc_id", text: str = "text"):
+    """128 bits of id and text, which tell rows apart where ids repeat or are null; null and empty differ."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return F.md5(F.concat(part(key), F.lit("\x1f"), part(text)))
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """``docs`` and a hash of doc_id and text, which tells rows apart where ids repeat or are null."""
-    return docs.withColumn(ROW_KEY, F.xxhash64("doc_id", "text"))
+    """``docs`` and the key of doc_id and text."""
+    return docs.withColumn(ROW_KEY, row_key())

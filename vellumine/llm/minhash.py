@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, Staged, bounded_batches, keep_ids, semi_ids, with_row_key
+from .common import ROW_KEY, Staged, bounded_batches, keep_ids, row_key, semi_ids, with_row_key
 from .graph import blocks_of, linked, neighbourhoods
 
 #: 24 bands of six minima and 24 of the same permutations' maxima: a pair at similarity 0.8 is missed once in 2 million.
@@ -93,7 +93,7 @@ class Banding:
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """rid, id, row_key (of id and text), n_shingles, digest of the set, one key per band (none for an empty set)."""
     id_type = docs.schema["id"].dataType.simpleString()
-    rows_in = docs.select(F.monotonically_increasing_id().alias("rid"), "id", F.xxhash64("id", "text").alias("row_key"), "text")
+    rows_in = docs.select(F.monotonically_increasing_id().alias("rid"), "id", row_key("id").alias("row_key"), "text")
 
     def run(batches):
         import pyarrow as pa
@@ -113,12 +113,12 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                 names=["rid", "id", "row_key", "n", "digest", "keys"],
             )
 
-    return rows_in.mapInArrow(run, f"rid long, id {id_type}, row_key long, n long, digest binary, keys array<long>")
+    return rows_in.mapInArrow(run, f"rid long, id {id_type}, row_key string, n long, digest binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """digest and shingle hashes of the rows whose row_key is wanted."""
-    rows = semi_ids(docs.select(F.xxhash64("id", "text").alias("row_key"), "text"), "row_key", wanted)
+    rows = semi_ids(docs.select(row_key("id").alias("row_key"), "text"), "row_key", wanted)
 
     def run(batches):
         import pyarrow as pa
@@ -143,7 +143,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
     Rows are linked when 100 |A and B| >= percent |A or B| for their sets of ``shingle``-word shingles; a text of fewer
     words is one shingle; null and empty texts have no shingle and are linked with nothing. Keys may repeat: each row
     is compared by its own text. A null key never names a component; a component of null keys only has a null id and
-    its rows are kept. An empty table gives no row; extra columns are not read. ``carry`` names a column for the hash of
+    its rows are kept. An empty table gives no row; extra columns are not read. ``carry`` names a column for the digest of
     key and text, as in ``common.with_row_key``, and ``root`` one for a number of the component, null without shingles.
     """
     bounded_batches(spark)

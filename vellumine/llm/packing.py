@@ -20,10 +20,13 @@ from .common import Staged, bounded_batches
 
 #: (chunk, source) rows that may be broadcast; more of them are joined by a shuffle.
 BROADCAST_BASES = 500_000
-#: Queues of one call. Their totals are handled on the driver.
+#: Queues of one call, whose totals are handled on the driver. Where there are more sources, those without a weight share
+#: queues by a hash of their name; every token is still packed, and shares hold for the queues.
 MAX_QUEUES = 20_000
+#: Quanta of one schedule, so that its products fit in 64 bits; beyond, quanta are larger.
+MAX_QUANTA = 1 << 40
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, sequence_length long"
-_ENCODED = "doc_id {id}, source string, chunk long, chunk_start long, n long, ids binary"
+_ENCODED = "doc_id {id}, source string, queue string, chunk long, chunk_start long, n long, ids binary"
 
 
 def _muldiv(a: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
@@ -50,8 +53,8 @@ class Schedule:
             share = self._phase(left, weights)
             share = {s: share[s] for s in names if share.get(s)}
             counts = np.array(list(share.values()), dtype=np.int64)
-            if counts.sum() >= 1 << 40:
-                raise ValueError("more than 2**40 quanta; use a larger quantum")
+            if counts.sum() >= MAX_QUANTA:
+                raise ValueError("more than 2**40 quanta of one window each")
             for place, (s, n) in enumerate(share.items()):
                 self.phases[s].append((served[s], tape, place, counts))
                 served[s] += n
@@ -159,7 +162,11 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, window: int
     bounded_batches(spark)
     staged = Staged(spark, "packing")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("\x00null")).alias("source"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    named = F.coalesce(F.col("source"), F.lit("\x00null"))
+    rows = docs.select("doc_id", named.alias("source"), named.alias("queue"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    if docs.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
+        own = F.col("source").isin([*(weights or {})]) if weights else F.lit(False)
+        rows = rows.withColumn("queue", F.when(own, F.col("source")).otherwise(F.concat(F.lit("\x00"), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES // 2)).cast("string"))))
 
     def encode(batches):
         import pyarrow as pa
@@ -168,28 +175,28 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, window: int
         ids, chunk, at = ByteIds(tokenizer_path), TaskContext.get().partitionId(), {}
         for batch in batches:
             starts, counts, blobs = [], [], []
-            sources = batch.column("source").to_pylist()
-            for source, text in zip(sources, batch.column("text").to_pylist()):
+            queues = batch.column("queue").to_pylist()
+            for queue, text in zip(queues, batch.column("text").to_pylist()):
                 got = ids.ids(text)
                 got.append(end_id)
-                starts.append(at.get(source, 0))
+                starts.append(at.get(queue, 0))
                 counts.append(len(got))
-                at[source] = starts[-1] + len(got)
+                at[queue] = starts[-1] + len(got)
                 blobs.append(got.tobytes() if got.itemsize == 4 else np.frombuffer(got, "<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sources, pa.string()), pa.array([chunk] * len(counts), pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "source", "chunk", "chunk_start", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("queue"), pa.array([chunk] * len(counts), pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "source", "queue", "chunk", "chunk_start", "n", "ids"])
 
     encoded = staged.write(rows.mapInArrow(encode, _ENCODED.format(id=id_type)), "ids")
-    per_chunk = staged.write(encoded.groupBy("chunk", "source").agg(F.sum("n").alias("tokens")), "chunks")
-    found = per_chunk.groupBy("source").agg(F.sum("tokens").alias("tokens")).limit(MAX_QUEUES + 1).collect()
-    if len(found) > MAX_QUEUES:
-        raise ValueError(f"more than {MAX_QUEUES} sources; give a coarser source column")
-    schedule = Schedule({r["source"]: r["tokens"] for r in found}, window, quantum, weights)
-
-    before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = per_chunk.select("chunk", "source", before.alias("base"))
+    per_chunk = staged.write(encoded.groupBy("chunk", "queue").agg(F.sum("n").alias("tokens")), "chunks")
+    found = {r["queue"]: r["tokens"] for r in per_chunk.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}
+    while quantum < window and sum(found.values()) // quantum >= MAX_QUANTA:
+        quantum *= 2
+    schedule = Schedule(found, window, quantum, weights)
+
+    before = F.coalesce(F.sum("tokens").over(Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = per_chunk.select("chunk", "queue", before.alias("base"))
     if per_chunk.limit(BROADCAST_BASES + 1).count() <= BROADCAST_BASES:
         bases = F.broadcast(bases)
-    placed = encoded.join(bases, ["chunk", "source"]).select("doc_id", "source", (F.col("base") + F.col("chunk_start")).alias("first"), "n", "ids")
+    placed = encoded.join(bases, ["chunk", "queue"]).select("doc_id", "source", "queue", (F.col("base") + F.col("chunk_start")).alias("first"), "n", "ids")
     wide = ByteIds(tokenizer_path).code == "I"
 
     def cut(batches):
@@ -200,9 +207,9 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, window: int
             sums: list[int] = []
             repeats = []
             sources, counts = batch.column("source").to_pylist(), batch.column("n").to_pylist()
-            for source, first, n, blob in zip(sources, batch.column("first").to_pylist(), counts, batch.column("ids").to_pylist()):
+            for queue, first, n, blob in zip(batch.column("queue").to_pylist(), batch.column("first").to_pylist(), counts, batch.column("ids").to_pylist()):
                 data = memoryview(blob if wide else np.frombuffer(blob, "<u2").astype("<u4").tobytes())
-                begin, length, tape = schedule.runs(source, first, first + n)
+                begin, length, tape = schedule.runs(queue, first, first + n)
                 begin = begin - first
                 sequence, offset, size = schedule.place(tape)
                 for column, values in zip(columns, (begin, length, sequence, offset, size)):

@@ -7,6 +7,7 @@ make up, it is outside on the best path whatever its neighbours are; the chain i
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -14,7 +15,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
@@ -26,8 +27,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 _HEX_MAP = bytes(120 if c in b"0123456789abcdef" else 32 for c in range(256))
 _HEX_RUN = b"x" * 24
 _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
-#: Windows of real text that training takes at most: around base spans, and from elsewhere.
+#: Documents that training looks through, expected: they are drawn by a hash of the text.
+TRAIN_ROWS = 20_000
+#: Windows of real text that training takes at most: around base spans, and from elsewhere; and at most from one text.
 TRAIN_WINDOWS = 200
+TEXT_WINDOWS = 3
 O, B, I = 0, 1, 2
 _MEMO = 500_000
 _STRIP = "\"'`()[]{}<>,;.!?*#%&$"
@@ -374,40 +378,54 @@ def synthetic(filler: list[str], n: int = 400, seed: int = 9) -> list[tuple[list
     return out
 
 
-def windows(text: str, reach: int = 20) -> list[tuple[list[str], list[int]]]:
-    """Words around base spans, tagged by them; one window without any from a text that has none."""
+def windows(text: str, reach: int = 20, most: int = TEXT_WINDOWS) -> list[tuple[list[str], list[int]]]:
+    """Words around the first base spans, tagged by them; one window without any from a text that has none."""
     spans = base_spans(text)
     where = [m.span() for m in re.finditer(r"\S+", text)]
-    words = [text[a:b] for a, b in where]
     if not spans:
-        at = len(words) // 2
-        return [(words[at : at + 2 * reach], [O] * len(words[at : at + 2 * reach]))] if words else []
-    hit = [any(max(a, s) < min(b, e) and (k != "assign" or b >= e) for s, k, e in spans) for a, b in where]
+        at = len(where) // 2
+        words = [text[a:b] for a, b in where[at : at + 2 * reach]]
+        return [(words, [O] * len(words))] if words else []
+    # Each span in the order of its start marks the words that it meets; an assignment only those up to its end.
+    starts, hit = [a for a, _ in where], [False] * len(where)
+    for s, k, e in spans:
+        i = max(0, bisect.bisect_right(starts, s) - 1)
+        while i < len(where) and starts[i] < e:
+            if where[i][1] > s and (k != "assign" or where[i][1] >= e):
+                hit[i] = True
+            i += 1
     out = []
-    for i in np.flatnonzero(hit):
-        lo, hi = max(0, int(i) - reach), int(i) + reach
-        out.append((words[lo:hi], [B if h else O for h in hit[lo:hi]]))
+    for i in (i for i, h in enumerate(hit) if h):
+        lo, hi = max(0, i - reach), i + reach
+        out.append(([text[a:b] for a, b in where[lo:hi]], [B if h else O for h in hit[lo:hi]]))
+        if len(out) == most:
+            break
     return out
 
 
 def learn(spark: SparkSession, docs: DataFrame, most: int = TRAIN_WINDOWS, text: str = "text") -> Crf:
-    """Train on made-up sequences and on at most ``most`` windows of ``docs`` with base spans and as many without."""
+    """Train on made-up sequences and on at most ``most`` windows of ``docs`` with base spans and as many without.
+
+    The windows come from about TRAIN_ROWS documents, in the order of a hash of their texts; one pass over the table.
+    """
     bounded_batches(spark)
-    likely = F.lower(F.col(text)).rlike("(password|passwd|secret|token|api_?key)|akia[a-z0-9]{16}|[0-9a-f]{24}")
+    n = docs.count()
     order = F.xxhash64(text)
+    part = min(1.0, TRAIN_ROWS / n) if n else 1.0
+    drawn = docs.where(F.col(text).isNotNull() & (F.pmod(order, F.lit(1_000_003)) < part * 1_000_003)).select(order.alias("place"), F.col(text))
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = [(k, x) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in windows(t)[:3]]
+            rows = [(k, B in tags, words, tags) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for words, tags in windows(t)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1][0] for r in rows], pa.list_(pa.string())), pa.array([r[1][1] for r in rows], pa.list_(pa.int32()))], names=["place", "words", "tags"])
+                place, held, words, tags = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(held), pa.array(words, pa.list_(pa.string())), pa.array(tags, pa.list_(pa.int32()))], names=["place", "held", "words", "tags"])
 
-    data = []
-    for rows in (docs.where(likely), docs.where(~likely & (F.pmod(order, F.lit(50)) == 0))):
-        got = rows.select(order.alias("place"), F.col(text)).mapInArrow(cut, "place long, words array<string>, tags array<int>").orderBy("place", "words").limit(most).collect()
-        data += [(list(r["words"]), list(r["tags"])) for r in got]
+    rank = F.row_number().over(Window.partitionBy("held").orderBy("place", "words"))
+    got = drawn.mapInArrow(cut, "place long, held boolean, words array<string>, tags array<int>").withColumn("rank", rank).where(F.col("rank") <= most).collect()
+    data = [(list(r["words"]), list(r["tags"])) for r in sorted(got, key=lambda r: (not r["held"], r["rank"]))]
     plain = sorted({w for words, tags in data for w, t in zip(words, tags) if t == O and w.isalpha()})
     filler = plain or "some words that say nothing of note and run on in lines".split()
     crf = Crf()
@@ -417,13 +435,17 @@ def learn(spark: SparkSession, docs: DataFrame, most: int = TRAIN_WINDOWS, text:
 
 def beside(base: list[tuple[int, str, int]], found: list[tuple[int, int]]) -> list[tuple[int, str, int]]:
     """The field's spans, whole, of which the fixed patterns' spans (by start) leave any character uncovered."""
+    starts, ends = [], []  # the base spans' union, as intervals that do not touch
+    for s, _, e in base:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     out = []
     for a, b in found:
-        at = a
-        for s, _, e in base:
-            if s <= at < e:
-                at = e
-        if at < b:
+        i = bisect.bisect_right(starts, a) - 1
+        if i < 0 or ends[i] < b:
             out.append((a, "crf", b))
     return out
 

@@ -25,11 +25,33 @@ def tokenizer_digest(path: str) -> str:
     return hashlib.sha256(open(path, "rb").read() + tokenizers.__version__.encode()).hexdigest()
 
 
-def open_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache at ``path``, made empty where there is none; rows that two writers stored count once."""
-    spark.createDataFrame([], CACHE_SCHEMA).coalesce(1).write.mode("append").parquet(path)
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(path)
-    return stored.groupBy("tokenizer", "digest").agg(F.max("n_tokens").alias("n_tokens"))
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def open_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """digest and n_tokens that the cache at ``path`` holds for a tokenizer; rows that two writers stored count once.
+
+    Only that tokenizer's folder is read; a cache that is not there yet is empty.
+    """
+    if not _exists(spark, f"{path}/tokenizer={version}"):
+        return spark.createDataFrame([], "digest binary, n_tokens long")
+    stored = spark.read.schema("digest binary, n_tokens long").parquet(f"{path}/tokenizer={version}")
+    return stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+
+def compact_cache(spark: SparkSession, path: str, version: str, files: int = 8) -> None:
+    """Rewrite a tokenizer's folder as ``files`` files without repeats. No other writer may append meanwhile.
+
+    The new folder is complete before the old one goes; a run that ends in between leaves the new one beside it.
+    """
+    own, made = f"{path}/tokenizer={version}", f"{path}/_compacted-{version}"
+    open_cache(spark, path, version).repartition(files, "digest").write.mode("overwrite").parquet(made)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(at(own), True)
+    fs.rename(at(made), at(own))
 
 
 def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, cache_path: str | None = None, limit: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -46,13 +68,14 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, cach
     # White space only parts words for such files, so texts that differ in it alone share an entry.
     normal = F.regexp_replace(content, _SPACES, " ") if Counter(tokenizer_path).by_word else content
     keyed = docs.select(F.col(key).alias("id"), F.octet_length(content).cast("long").alias("n_bytes"), F.unhex(F.sha2(normal, 256)).alias("digest"), content.alias("content"))
-    keyed = keyed.withColumn("row_key", F.xxhash64("id", "digest"))
+    keyed = keyed.withColumn("row_key", F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("-")).cast("binary"), F.lit(b"\x1f"), "digest")))
 
     rows = staged.write(keyed.select("id", "n_bytes", "digest", "row_key"), "rows")
-    stored = open_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
+    stored = open_cache(spark, cache_path, version)
     first = rows.groupBy("digest").agg(F.min("row_key").alias("first_key")).join(stored.select("digest"), "digest", "left_anti")
     known = rows.join(first, (rows["row_key"] == first["first_key"]) & (rows["digest"] == first["digest"]), "left_anti").select("row_key")
-    misses = keep_ids(keyed.select("row_key", "digest", "content"), "row_key", known.distinct())
+    known = staged.write(known.distinct(), "known")
+    misses = keep_ids(keyed.select("row_key", "digest", "content"), "row_key", known)
 
     def encode(batches):
         import pyarrow as pa
@@ -62,6 +85,6 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer_path: str, cach
             n = counter.counts(batch.column("content").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.string()), batch.column("digest").cast(pa.binary()), pa.array(n, pa.int64())], names=["tokenizer", "digest", "n_tokens"])
 
-    misses.select("digest", "content").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = open_cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
+    misses.select("digest", "content").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
+    counts = open_cache(spark, cache_path, version)
     return rows.join(counts, "digest", "left").select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

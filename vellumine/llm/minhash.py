@@ -20,10 +20,10 @@ from .graph import blocks_of, linked, neighbourhoods
 BANDS = 48
 ROWS = 6
 #: Rows and shingles of a block when what the hubs leave open is settled.
-BLOCK_ROWS = 2048
-BLOCK_SHINGLES = 1_000_000
+BLOCK_ROWS = 512
+BLOCK_SHINGLES = 500_000
 #: Blocks of an area that is settled as a whole; a larger one is settled bucket by bucket.
-AREA_BLOCKS = 2
+AREA_BLOCKS = 16
 _MEMO = 150_000
 _U64 = np.uint64
 

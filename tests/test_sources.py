@@ -110,3 +110,106 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("SELECT paper_id, status, verdicts FROM verdicts").collect()] == [(1, "ok", 2)]
+
+
+def test_jats_in_full():
+    data = b"""<?xml version="1.0"?><!DOCTYPE article [<!ELEMENT x ANY>]><article xmlns:m="http://www.w3.org/1998/Math/MathML"><front><article-title>Tides<xref>1</xref></article-title>
+    <contrib-group><contrib contrib-type="author"><name><surname>Alder</surname><given-names>Ada</given-names></name></contrib><contrib contrib-type="author"><collab>Kelp Group</collab></contrib></contrib-group></front>
+    <body><sec><title>Intro</title><p>Let <m:math><m:msup><m:mi>x</m:mi><m:mn>2</m:mn></m:msup><m:mo>=</m:mo><m:mfrac><m:mi>a</m:mi><m:mi>b</m:mi></m:mfrac></m:math> hold.<list><list-item><p>one</p></list-item></list></p>
+    <table-wrap><label>Table 1</label><caption><p>Cap</p></caption><table><tr><td rowspan="2">a</td><td>b</td></tr><tr><td>c</td></tr></table></table-wrap></sec></body>
+    <back><fn-group><fn><p>Note</p></fn></fn-group><ref-list><ref><mixed-citation>Alder (2001).</mixed-citation></ref></ref-list></back></article>"""
+    title, _, blocks, problem, authors, tables, refs, notes = papers.parse_any("jats", data)
+    assert (title, problem, authors, tables, refs, notes) == ("Tides", None, ["Ada Alder", "Kelp Group"], [[["a", "b"], ["a", "c"]]], ["Alder (2001)."], ["Note"])
+    assert [b[3] for b in blocks] == ["Intro", "one", "Let x^2 = a/b hold.", "Table 1 Cap"]
+
+
+def test_entities_anywhere_before_the_root():
+    padding = b"<!-- " + b"x" * 300_000 + b" -->"
+    assert papers.parse_any("jats", b'<?xml version="1.0"?>' + padding + b'<!DOCTYPE a [<!ENTITY x "y">]><article/>')[3] == "ValueError"
+    assert papers.parse_any("jats", b"<article>" + b"<sec>" * 20_000)[3] is not None and papers.parse_any("html", None)[2] == []
+
+
+def test_tei_docx_and_epub_in_full():
+    tei = b"""<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><titleStmt><title>Tides</title></titleStmt><sourceDesc><author><persName><forename>Ada</forename><surname>Alder</surname></persName></author><idno type="DOI">10.5555/a</idno></sourceDesc>
+    <abstract><p>Short.</p></abstract></teiHeader><text><body><div><head n="1.">Intro</head><p>Text.</p><head n="1.1">Sub</head></div></body><back><listBibl><biblStruct><note type="raw_reference">Raw ref.</note></biblStruct></listBibl></back></text></TEI>"""
+    title, doi, blocks, problem, authors, _, refs, _ = papers.parse_any("tei", tei)
+    assert (title, doi, problem, authors, refs) == ("Tides", "10.5555/a", None, ["Ada Alder"], ["Raw ref."])
+    assert [(b[0], b[1], b[3]) for b in blocks] == [("heading", 1, "Abstract"), ("paragraph", None, "Short."), ("heading", 1, "1. Intro".replace(".", "", 1)), ("paragraph", None, "Text."), ("heading", 2, "1.1 Sub")]
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"'
+    body = '<w:p><w:r><w:t>A</w:t><w:tab/><w:t>b</w:t></w:r><m:oMath><m:r><m:t>=c</m:t></m:r></m:oMath></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'
+    docx = _zip(word__document_Xxml=f"<w:document {w}><w:body>{body}</w:body></w:document>", word__footnotes_Xxml=f'<w:footnotes {w}><w:footnote w:type="separator"><w:p/></w:footnote><w:footnote><w:p><w:r><w:t>Note</w:t></w:r></w:p></w:footnote></w:footnotes>')
+    _, _, blocks, problem, _, tables, _, notes = papers.parse_any("docx", docx)
+    assert ([b[3] for b in blocks], problem, tables, notes) == (["A b=c"], None, [[["x"]]], ["Note"])
+
+
+def test_discovery_and_quarantine(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name, data in [("a.html", b"<html><p>x</html>"), ("deep/b.xml", b"<article/>"), ("deep/c.doc", b"x"), ("d.bin", b"x"), ("e.html", b"")]:
+        (tmp_path / "in" / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[1]: r["problem"] for r in papers.discover(spark, str(tmp_path / "in")).collect()}
+    assert got == {"a.html": None, "b.xml": None, "c.doc": "refused", "d.bin": "unsupported"}
+    (tmp_path / "list").write_text(" a.html \n\n# no\nb.xml\nc.exe\n")
+    assert [(r["path"], r["problem"]) for r in papers.read_manifest(spark, str(tmp_path / "list")).orderBy("place").collect()] == [("a.html", None), ("b.xml", None), ("c.exe", "refused")]
+    files = spark.createDataFrame([("a", b"<html>"), ("b", b""), ("c", None), ("d", b"%PDF-1.7"), ("e", b"zz")], "path string, content binary")
+    good, bad = papers.validated(files)
+    assert [r["path"] for r in good.collect()] == ["a"] and {r["path"]: r["problem"] for r in bad.collect()} == {"b": "empty", "c": "empty", "d": "no_text_layer_reader", "e": "unsupported"}
+
+
+def test_paper_ids_are_unique_and_recorded_ones_stay(spark):
+    import hashlib
+
+    h = hashlib.sha256(b"1").hexdigest()[:8]
+    rows = [("x/a.xml", b"1"), ("y/A.html", b"1"), ("z/a.pdf", b"2"), (f"q/a-{h}.xml", b"3"), ("only.xml", b"4"), (".xml", b"5"), ("n/a.xml", b"1")]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    ids = {r["path"]: r["paper_id"] for r in papers.paper_ids(files).collect()}
+    assert len({v.lower() for v in ids.values()}) == len(rows) and ids["only.xml"] == "only"
+    again = papers.paper_ids(files.union(spark.createDataFrame([("m/only.xml", b"4")], files.schema)), spark.createDataFrame(list(ids.items()), "path string, paper_id string"))
+    later = {r["path"]: r["paper_id"] for r in again.collect()}
+    assert {k: later[k] for k in ids} == ids and len({v.lower() for v in later.values()}) == len(later)
+
+
+def test_tables_survive_a_crash_between_renames(spark, tmp_path):
+    out = tmp_path / "out"
+    frame = lambda v: spark.createDataFrame([("p", v)], "paper_id string, title string")
+    sinks.write_tables({"paper": frame("one")}, str(out))
+    out.rename(tmp_path / "out.__old")  # as if the second rename had not come
+    sinks.recover(spark, str(out))
+    assert spark.read.parquet(str(out / "paper")).first()["title"] == "one"
+    sinks.write_tables({"paper": frame("two")}, str(out))
+    assert spark.read.parquet(str(out / "paper")).first()["title"] == "two" and sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+
+
+def test_bibtex_escapes_and_schema(spark):
+    got = spark.range(1).select(sinks._tex(F.lit("a{b}~^\\_"))).first()[0]
+    assert got == "a\\{b\\}\\textasciitilde{}\\textasciicircum{}\\textbackslash{}\\_"
+    import json
+
+    df = spark.createDataFrame([(1, ["x"])], "a long, b array<string>")
+    strict, loose = (json.loads(sinks.schema_artifact({"t": df}, s)) for s in (True, False))
+    assert strict["required"] == ["t"] and not strict["additionalProperties"] and loose["additionalProperties"] and "required" not in loose
+
+
+def test_cache_computes_each_content_once(spark, tmp_path):
+    from vellumine.sources.cache import cached
+
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b")], "id long, text string")
+    seen = []
+
+    def compute(missing):
+        seen.append(missing.count())
+        return missing.select("digest", F.length("content").alias("n"))
+
+    for _ in range(2):
+        got = {r["id"]: r["n"] for r in cached(rows, "text", "v1", str(tmp_path / "c"), compute).collect()}
+        assert got == {1: 1, 2: 1, 3: None, 4: 1}
+    cached(rows, "text", "v2", str(tmp_path / "c"), compute).count()
+    assert seen == [3, 0, 3]
+
+
+def test_ledger_lines(spark, tmp_path):
+    from vellumine.operators import ledger
+
+    rows, bad = ledger.read_lines(spark.createDataFrame([(1, '{"paper_id":"p","status":"ok","warnings":{"count":1,"codes":{"A":1}}}'), (2, "{"), (3, ""), (4, '{"paper_id":"p","status":"started"}'), (5, None), (6, "[]")], "line_no long, value string"))
+    assert [r["status"] for r in rows.collect()] == ["ok"] and bad.first()["malformed"] == 2
+    ledger.append_lines(rows, str(tmp_path / "log"))
+    assert ledger.read_lines(spark.read.text(str(tmp_path / "log")).select(F.lit(1).cast("long").alias("line_no"), "value"))[0].count() == 1

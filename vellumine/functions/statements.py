@@ -16,18 +16,21 @@ ANCHORS = {
 #: A statement declares something: one of these stands in it.
 DECLARES = re.compile(r"\b(?:was|were|is|are|has|have|had|declares?|received|supported|funded|approved|obtained|gave|provided|none|no|not)\b", re.IGNORECASE)
 _FUNDER_HINT = re.compile(r"\b(?:(?i:grants?|awards?|foundation|council|agency|ministry|institutes?|fund|trust|society|university|programme|program|commission|fellowship|scholarship)|[A-Z]{3,})\b")
-_LABEL = re.compile(r"^\W*(?:funding|acknowledge?ments?|conflicts? of interests?|competing interests?|ethics(?: statement)?|data availability(?: statement)?)\W*$", re.IGNORECASE)
+_LABELS = {
+    "funding": re.compile(r"^\W*(?:funding|financial support)(?: statement| information)?\W*$", re.IGNORECASE), "coi": re.compile(r"^\W*(?:conflicts? of interests?|competing interests?|declaration of interests?)(?: statement)?\W*$", re.IGNORECASE),
+    "ethics": re.compile(r"^\W*ethic(?:s|al approval)(?: statement)?\W*$", re.IGNORECASE), "data": re.compile(r"^\W*data (?:and materials? )?availability(?: statement)?\W*$", re.IGNORECASE),
+}
 _BOUNDARY = re.compile(r"^(?:©|copyright\b|publisher['’]?s? note|references?$|received:?\s)", re.IGNORECASE)
 #: Section types that a field's statement is headed by.
 SECTIONS = {"funding": "funding", "coi": "coi", "ethics": "ethics", "data": "data_availability"}
 
 
 def _qualifies(field: str, text: str, after: str = "") -> bool:
+    if _LABELS[field].match(text):
+        return bool(after) and bool(DECLARES.search(after))
     m = ANCHORS[field].search(text)
     if not m:
         return False
-    if _LABEL.match(text):
-        return bool(after) and bool(DECLARES.search(after))
     if field == "funding" and "supported" in m[0].lower() and not _FUNDER_HINT.search(text[m.end() :]):
         return False
     return bool(DECLARES.search(text))
@@ -58,7 +61,7 @@ def scan(sentences: list[dict] | None) -> list[dict]:
                 if not _same(s, rows[j]) or _BOUNDARY.match(follows) or any(_qualifies(f, follows) for f in FIELDS if f != field):
                     break
                 last = j
-            out.append({"field": field, "text": " ".join(r["text"] or "" for r in rows[i : last + 1]), "first": i, "last": last, "source": "scan", "rule": "label" if _LABEL.match(text) else "anchor"})
+            out.append({"field": field, "text": " ".join(r["text"] or "" for r in rows[i : last + 1]), "first": i, "last": last, "source": "scan", "rule": "label" if _LABELS[field].match(text) else "anchor"})
             break
     return out
 

@@ -52,7 +52,7 @@ def check(bibs: DataFrame, records: DataFrame) -> DataFrame:
     rows = rows.withColumn("first_like", fuzzy.ratio(first, rec_first))
     others = F.slice(F.transform(F.coalesce("rec_families", F.array().cast("array<string>")), F.lower), 2, MOST_AUTHORS - 1)
     missing = F.exists(others, lambda f: ~F.array_contains(known, f))
-    body = F.coalesce(F.col("rec_families")[0].rlike(r"(?i)\b(organi[sz]ation|association|committee|group|university|institute|ministry|council)\b"), F.lit(False))
+    body = F.coalesce(F.get("rec_families", F.lit(0)).rlike(r"(?i)\b(organi[sz]ation|association|committee|group|university|institute|ministry|council)\b"), F.lit(False))
     gap = F.col("rec_year") - F.col("year")
     has = lambda a, b: F.col(a).isNotNull() & (F.col(a).cast("string") != "") & F.col(b).isNotNull() & (F.col(b).cast("string") != "")
     squeezed = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")

@@ -31,8 +31,8 @@ def link_author_year(cites: DataFrame, refs: DataFrame) -> DataFrame:
 
     ``cites``: paper_id, cite_id, year, families (array); ``refs``: paper_id, bib_id, year, families (array).
     """
-    c = cites.withColumn("lead", F.lower(F.col("families")[0]))
-    r = refs.select("paper_id", "bib_id", "year", F.lower(F.col("families")[0]).alias("lead"), F.col("families").alias("theirs"))
+    c = cites.withColumn("lead", F.lower(F.get("families", F.lit(0))))
+    r = refs.select("paper_id", "bib_id", "year", F.lower(F.get("families", F.lit(0))).alias("lead"), F.col("families").alias("theirs"))
     pairs = c.join(r, ["paper_id", "year", "lead"])
     hits = F.size(F.array_intersect("families", "theirs"))
     scored = pairs.withColumn("score", F.struct(hits.alias("hits"), (-F.size("theirs")).alias("fewer")))

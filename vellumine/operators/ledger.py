@@ -65,14 +65,50 @@ def report(log: DataFrame) -> DataFrame:
     )
 
 
+LINE = (
+    "paper_id string, status string, run_id string, started_at string, finished_at string, duration_s double, stage_times map<string,double>, llm_tokens long, n_refs long, n_matched long, "
+    "warnings struct<count:long,codes:map<string,long>>, error_code string, failed_stage string, sha256 string, bytes long"
+)
+
+
+def read_lines(lines: DataFrame, hidden: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(ledger rows, one row with the number of malformed lines) of JSON lines: line_no, value.
+
+    A malformed line, or one without a paper and status, is skipped and counted; blank lines are neither. ``started`` rows are
+    left out unless ``hidden``.
+    """
+    parsed = lines.where(F.trim("value") != "").select("line_no", F.from_json("value", LINE + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    good = F.col("r").isNotNull() & F.col("r._bad").isNull() & F.col("r.paper_id").isNotNull() & F.col("r.status").isNotNull()
+    rows = parsed.where(good).select("line_no", "r.*").drop("_bad")
+    return (rows if hidden else rows.where(F.col("status") != STARTED)), parsed.agg(F.count_if(~F.coalesce(good, F.lit(False))).alias("malformed"))
+
+
+def append_lines(rows: DataFrame, path: str) -> None:
+    """Append ledger rows as JSON lines; a reader sees a batch of them as a whole or not at all."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("append").text(path)
+
+
 def top_codes(log: DataFrame, n: int = 10) -> DataFrame:
     """The commonest codes, ties by name; a top-n report by design."""
     return log.groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "code").limit(n)
 
 
-def usage(log: DataFrame) -> DataFrame:
-    """Calls and tokens by label and model with totals of either level; null names a total."""
-    return log.rollup("label", "model").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"), F.grouping_id().cast("long").alias("level"))
+def failures(log: DataFrame) -> DataFrame:
+    """Failures by code and by the stage that failed, commonest first by ``place``: kind, name, n, place."""
+    rows = log.where(F.col("status") == "failed").select(F.explode(F.array(F.struct(F.lit("code").alias("kind"), F.coalesce("code", F.lit("unknown")).alias("name")), F.struct(F.lit("stage").alias("kind"), F.coalesce("failed_stage", F.lit("unknown")).alias("name")))).alias("x"))
+    counts = rows.groupBy("x.kind", "x.name").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "name")).cast("long"))
+
+
+def usage(log: DataFrame, *by: str) -> DataFrame:
+    """Calls and tokens by the levels ``by`` (label and model unless given) with totals of each level; null names a total."""
+    return log.rollup(*(by or ("label", "model"))).agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"), F.grouping_id().cast("long").alias("level"))
+
+
+def provenance(entries: DataFrame) -> DataFrame:
+    """paper_id and its fields' sources as a map (A7): of several entries of a field the last by ``line_no`` counts."""
+    last = entries.groupBy("paper_id", "field").agg(F.max_by("source", "line_no").alias("source"))
+    return last.groupBy("paper_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "source")))).alias("sources"))
 
 
 def sliding_excess(log: DataFrame, seconds: int, most: int) -> DataFrame:

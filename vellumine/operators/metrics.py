@@ -101,3 +101,89 @@ def diff(a: DataFrame, b: DataFrame, key: str, *columns: str, tolerance: float =
     alone = F.when(F.col("in_b").isNull(), "only_a").when(F.col("in_a").isNull(), "only_b")
     found.append(F.when(alone.isNotNull(), F.struct(F.lit("").alias("path"), F.lit(None).cast("string").alias("left"), F.lit(None).cast("string").alias("right"), alone.alias("kind"))))
     return both.select(key, F.explode(F.array_compact(F.array(*found))).alias("d")).select(key, "d.*")
+
+
+def by_path(differences: DataFrame, key: str) -> DataFrame:
+    """path, papers, n (A23): how many papers and places differ at each path."""
+    return differences.groupBy("path").agg(F.countDistinct(key).alias("papers"), F.count(F.lit(1)).alias("n"))
+
+
+def set_f1(rows: DataFrame, key: str = "id") -> DataFrame:
+    """F1 of the sets of (key, side, item) rows; null without gold."""
+    per = rows.groupBy(key, F.lower("item").alias("item")).agg(F.max((F.col("side") == "gold").cast("int")).alias("g"), F.max((F.col("side") == "pred").cast("int")).alias("p"))
+    sums = per.groupBy(key).agg(F.sum(F.col("g") * F.col("p")).alias("hit"), F.sum("g").alias("g"), F.sum("p").alias("p"))
+    return sums.select(key, F.round(F.when(F.col("g") > 0, 2 * F.col("hit") / (F.col("g") + F.col("p"))), 6).alias("f1"))
+
+
+def fuzzy_f1(rows: DataFrame, least: float = 0.85, key: str = "id") -> DataFrame:
+    """F1 of names matched one to one, the likest first by Jaro-Winkler from ``least`` on; null without gold.
+
+    Candidates of a key share the first letter of a word or have one name each, so that not all pairs are formed.
+    """
+    from ..functions.fuzzy import jaro_winkler
+
+    named = rows.select(key, "side", F.lower("item").alias("item")).withColumn("n", F.row_number().over(_each(key)))
+    block = named.withColumn("block", F.explode(F.array_distinct(F.transform(F.filter(F.split("item", r"\s+"), lambda w: w != ""), lambda w: F.substring(w, 1, 1)))))
+    side = lambda s, n: block.where(F.col("side") == s).select(key, "block", F.col("n").alias(n), F.col("item").alias(f"{n}_item"))
+    pairs = side("gold", "gold").join(side("pred", "pred"), [key, "block"]).drop("block").distinct().withColumn("score", jaro_winkler("gold_item", "pred_item")).where(F.col("score") >= least)
+    hits = greedy_match(pairs.select(key, "gold", "pred", "score"), key).groupBy(key).agg(F.count(F.lit(1)).alias("hit"))
+    sizes = rows.groupBy(key).agg(F.count_if(F.col("side") == "gold").alias("g"), F.count_if(F.col("side") == "pred").alias("p"))
+    return sizes.join(hits, key, "left").select(key, F.round(F.when(F.col("g") > 0, 2 * F.coalesce("hit", F.lit(0)) / (F.col("g") + F.col("p"))), 6).alias("f1"))
+
+
+def _each(key: str):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(key).orderBy("side", F.lower("item"))
+
+
+def plain_title(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
+def title_soft(gold: Column, pred: Column) -> Column:
+    """1 if the titles are equal without punctuation, or one is the word-aligned start of the other with two words and 70 % of it, else 0.
+
+    Null where gold has no title.
+    """
+    a, b = plain_title(gold), plain_title(pred)
+    short, long = F.when(F.length(a) <= F.length(b), a).otherwise(b), F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    starts = (short != "") & F.concat(long, F.lit(" ")).startswith(F.concat(short, F.lit(" "))) & (F.size(F.split(short, " ")) >= 2) & (F.length(short) >= 0.7 * F.length(long))
+    return F.when(a != "", ((a == b) | starts).cast("double"))
+
+
+def doi_match(gold: Column, pred: Column) -> Column:
+    """1 if the DOIs agree, else 0; null where gold has none."""
+    from ..functions.text import doi_key
+
+    return F.when(F.coalesce(doi_key(gold), F.lit("")) != "", F.coalesce(doi_key(gold) == doi_key(pred), F.lit(False)).cast("double"))
+
+
+#: Tokens beyond which texts are not compared word by word.
+MAX_TOKENS = 1000
+
+
+def rouge_l_value(gold: str | None, pred: str | None) -> float | None:
+    """F-measure of the longest common subsequence of lower-case words; null without gold or beyond MAX_TOKENS."""
+    a, b = (gold or "").lower().split(), (pred or "").lower().split()
+    if not a or max(len(a), len(b)) > MAX_TOKENS:
+        return None
+    place: dict[str, int] = {}
+    for i, w in enumerate(a):
+        place[w] = place.get(w, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for w in b:
+        hit = row & place.get(w, 0)
+        row = (row + hit | row - hit) & full
+    common = len(a) - row.bit_count()
+    return 2 * common / (len(a) + len(b))
+
+
+def rouge_l(gold, pred) -> Column:
+    return F.udf(rouge_l_value, "double", useArrow=True)(gold, pred)
+
+
+def presence(gold: Column, pred: Column, least: int = 20, share: float = 0.5) -> Column:
+    """Whether half of the gold's distinct words stand in the prediction; null for golds of fewer than ``least`` words."""
+    g, p = F.array_distinct(tokens(gold)), F.array_distinct(tokens(pred))
+    return F.when(F.size(tokens(gold)) >= least, (F.size(F.array_intersect(g, p)) >= share * F.size(g)).cast("double"))

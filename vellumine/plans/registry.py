@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import document_queries, kernel_queries, page_queries, relational_queries, structure_queries, text_queries
+from . import document_queries, kernel_queries, page_queries, relational_queries, source_queries, structure_queries, text_queries
 
-MODULES = (kernel_queries, relational_queries, document_queries, page_queries, text_queries, structure_queries)
+MODULES = (kernel_queries, relational_queries, document_queries, page_queries, text_queries, structure_queries, source_queries)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:

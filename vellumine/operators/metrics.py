@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,32 @@ def shingle_recall(pairs: DataFrame, n: int = 5, key: str = "id") -> DataFrame:
     return rows.select(key, F.round(F.when(F.size("g") >= n, share), 6).alias("shingle_recall"))
 
 
+#: Shingles of passages that are sent to every executor; more of them are joined by a shuffle.
+BROADCAST_SHINGLES = 1_000_000
+
+
+def containment(passages: DataFrame, docs: DataFrame, n: int = 5, least: float = 0.5, key: str = "item_id", doc: str = "doc_id") -> DataFrame:
+    """key, doc, share of every passage and text that have ``least`` of the passage's distinct n-word shingles in common.
+
+    Passages of fewer words have none. Shingles meet by their hashes over whole texts; only those of passages leave a text.
+    """
+
+    def shingles(rows: DataFrame, name: str) -> DataFrame:
+        # The words are shifted against themselves and zipped: a lambda that held the whole array would work it out anew each time.
+        words = rows.select(name, tokens(F.col("text")).alias("w")).where(F.size("w") >= n)
+        shifted = F.arrays_zip(*(F.slice("w", i + 1, F.size("w") - n + 1).alias(f"w{i}") for i in range(n)))
+        grams = words.select(name, shifted.alias("z")).select(name, F.transform("z", lambda x: F.xxhash64(F.concat_ws(" ", *(x[f"w{i}"] for i in range(n))))).alias("g"))
+        return grams.select(name, F.explode(F.array_distinct("g")).alias("gram"))
+
+    asked = shingles(passages.select(key, "text"), key)
+    sizes = asked.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+    if asked.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES:
+        asked = F.broadcast(asked)
+    common = shingles(docs.select(doc, "text"), doc).join(asked, "gram").groupBy(key, doc).agg(F.count(F.lit(1)).alias("common"))
+    share = F.round(F.col("common") / F.col("size"), 6)
+    return common.join(sizes, key).select(key, doc, share.alias("share")).where(F.col("share") >= least)
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 - Levenshtein distance / longer length; null when either is missing, 1 for two empty strings."""
     longest = F.greatest(F.length(a), F.length(b))
@@ -75,8 +101,6 @@ def pass_rate(scores: DataFrame, floors: dict[str, float], *by: str) -> DataFram
 
 def consensus(readings: DataFrame, threshold: float = 0.15, share: float = 0.07) -> DataFrame:
     """Regions whose two readings disagree, ranked; the worst ``share`` of a paper's compared regions (one at least) escalate."""
-    from pyspark.sql import Window
-
     norm = lambda c: F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"-\n", ""), r"\s+", " ")
     a, b = norm(F.col("first")), norm(F.col("second"))
     rows = readings.withColumn("score", F.round(1 - edit_similarity(a, b), 6))
@@ -132,8 +156,6 @@ def fuzzy_f1(rows: DataFrame, least: float = 0.85, key: str = "id") -> DataFrame
 
 
 def _each(key: str):
-    from pyspark.sql import Window
-
     return Window.partitionBy(key).orderBy("side", F.lower("item"))
 
 

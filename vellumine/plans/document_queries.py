@@ -84,6 +84,11 @@ def passage_shingles(spark, sf_dir):
     return metrics.shingle_recall(_passages(spark, sf_dir))
 
 
+def passage_containment(spark, sf_dir):
+    """A17 over all documents: which of them hold half or more of a benchmark passage's shingles."""
+    return metrics.containment(_read(spark, sf_dir, "benchmark"), _read(spark, sf_dir, "documents"))
+
+
 def _passages(spark, sf_dir):
     b, d = _read(spark, sf_dir, "benchmark"), _read(spark, sf_dir, "documents")
     return b.join(d, b["item_id"] == d["doc_id"]).select(F.col("item_id").alias("id"), b["text"].alias("gold"), d["text"].alias("pred"))
@@ -118,7 +123,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         numeric_citations, author_year, float_links, sentence_pages, section_types, section_scopes, section_unique, section_parents, running_headers, running_lines, conversation_text, char_lines, reading_consensus,
-        passage_scores, passage_shingles, label_pass_rates, name_f1, export_diff, duplicate_sentences,
+        passage_scores, passage_shingles, passage_containment, label_pass_rates, name_f1, export_diff, duplicate_sentences,
     )
 }
 
@@ -173,6 +178,10 @@ ORACLES = {
         WITH {_PASSAGES}, g AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(g) AS t FROM p) GROUP BY ALL), q AS (SELECT id, t, count(*) AS n FROM (SELECT id, unnest(p) AS t FROM p) GROUP BY ALL)
         SELECT id, round(sum(least(coalesce(g.n, 0), coalesce(q.n, 0))) / sum(g.n), 6) AS recall, round(sum(least(coalesce(g.n, 0), coalesce(q.n, 0))) / sum(q.n), 6) AS precision FROM g FULL JOIN q USING (id, t) GROUP BY id""",
     "passage_shingles": f"WITH {_PASSAGES} SELECT id, CASE WHEN len(g) >= 5 THEN round(len(list_intersect({_GRAMS.format('g')}, {_GRAMS.format('p')})) / len({_GRAMS.format('g')}), 6) END AS shingle_recall FROM p",
+    "passage_containment": f"""
+        WITH b AS (SELECT item_id, {_TOK.format("coalesce(text, '')")} AS t FROM benchmark), d AS (SELECT doc_id, {_TOK.format("coalesce(text, '')")} AS t FROM documents),
+        g AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) AS s FROM b WHERE len(t) >= 5), h AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' '))) AS s FROM d WHERE len(t) >= 5),
+        n AS (SELECT item_id, count(*) AS n FROM g GROUP BY 1) SELECT item_id, doc_id, round(count(*) / any_value(n), 6) AS share FROM g JOIN h USING (s) JOIN n USING (item_id) GROUP BY 1, 2 HAVING round(count(*) / any_value(n), 6) >= 0.5""",
     "label_pass_rates": """
         SELECT source, round(avg((coalesce(quality >= 0.5, true) AND coalesce(1 - toxic >= 0.5, true))::INT), 6) AS pass_rate, count(*) AS n, round(avg(quality), 6) AS quality_mean, round(median(quality), 6) AS quality_median, count(quality) AS quality_n,
             round(avg(1 - toxic), 6) AS clean_mean, round(median(1 - toxic), 6) AS clean_median, count(toxic) AS clean_n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""",

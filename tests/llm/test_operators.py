@@ -500,8 +500,8 @@ def test_packing_of_more_sources_than_queues(spark, monkeypatch):
 
 
 def test_training_on_very_long_labelled_texts(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "TRAIN_DOCUMENT", 50)
-    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 400)
+    monkeypatch.setattr(toxicity, "TRAIN_DOCUMENT", 250)
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 2000)
     rows = [(i, ("vile " if i % 2 else "calm ") * (1000 if i == 0 else 20), "en") for i in range(60)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     net = toxicity.learn(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels)

@@ -545,3 +545,49 @@ def test_mixing_takes_the_documents_that_brute_force_takes(spark, epochs):
             run += words[i]
             want[i] = whole + (0 < left and run <= left)
     assert {r["doc_id"]: r["copies"] for r in got} == want
+
+
+@pytest.mark.parametrize("weights, budget", [({}, 0.05), ({("0",): 3.0, ("1", "de"): 0.0, ("0", "en", "host1"): 9.5, ("0", "en", "host2"): 0.0}, 0.6)])
+def test_more_leaves_than_the_driver_handles(spark, monkeypatch, weights, budget):
+    from vellumine.llm.common import Staged
+    from vellumine.llm.leaves import hand_down
+
+    rng = random.Random(3)
+    supply = {(str(i % 2), rng.choice(["en", "de"]), f"host{i}"): int(rng.paretovariate(0.6)) % 5000 for i in range(300)}
+    total = int(budget * sum(supply.values()))
+    want = mixing.budgets(total, supply, weights)
+    monkeypatch.setattr("vellumine.llm.leaves.CELLS", 4)
+    monkeypatch.setattr("vellumine.llm.leaves.EDGE_ROWS", 2)
+    leaves = spark.createDataFrame([(*k, n) for k, n in supply.items()], "domain string, lang string, source string, supply long")
+    staged = Staged(spark, "test")
+    got = {tuple(r)[:3]: r["share"] for r in hand_down(staged, staged.write(leaves, "leaves"), mixing.LEVELS, weights, total).collect()}
+    assert set(got) == set(want) and sum(got.values()) == total
+    assert all(0 <= got[k] <= supply[k] and abs(got[k] - want[k]) <= 2 for k in want)
+
+
+def test_mixing_above_the_leaves_of_the_driver(spark, awkward, nothing, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_LEAVES", 2)
+    assert mixing.mix(spark, awkward).count() == len(ROWS) and mixing.mix(spark, nothing).count() == 0
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(WORDS, k=rng.randint(1, 40))), rng.choice(["en", "de", None]), rng.choice("abc")) for i in range(300)], "doc_id long, text string, lang string, source string")
+    rows = mixing.mix(spark, docs, budget=0.5, weights=queries.MIXTURE).collect()
+    leaves = {}
+    for r in rows:
+        leaves.setdefault((r["domain"], r["lang"], r["source"]), []).append(r)
+    assert len(rows) == 300 and sum(own[0]["leaf_budget"] for own in leaves.values()) == int(0.5 * sum(r["n_tokens"] for r in rows))
+    for own in leaves.values():
+        budget, used = own[0]["leaf_budget"], sum(r["n_tokens"] * r["copies"] for r in own)
+        assert budget - max(r["n_tokens"] for r in own) < used <= budget
+
+
+def test_a_leaf_of_repeated_rows_is_cut_cell_by_cell(spark, monkeypatch):
+    rows = [(7, "same words here", "en", "a")] * 200 + [(i, "a b c d", "en", "a") for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = []
+    for most in (20_000, 3):
+        monkeypatch.setattr("vellumine.llm.leaves.EDGE_ROWS", most)
+        got = mixing.mix(spark, docs, budget=0.5, epochs=1).collect()
+        taken.append(sorted((r["doc_id"], r["n_tokens"], r["copies"]) for r in got))
+        used, budget = sum(r["n_tokens"] * r["copies"] for r in got), got[0]["leaf_budget"]
+        assert len(got) == 240 and budget - 4 < used <= budget
+    assert taken[0] == taken[1]

@@ -10,15 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ROW_KEY, Staged, crc_mod, keep_ids, with_row_key
+from .leaves import attach, hand_down, prefix
 
-#: Leaves of the tree, which the driver handles.
+#: Leaves of the tree that the driver handles; where there are more, executors hand the budget down.
 MAX_LEAVES = 100_000
-#: Slices of an epoch's order: prefix sums run over slices first, and over documents only within a leaf's last slice.
-SLICES = 4096
 LEVELS = ("domain", "lang", "source")
 
 
@@ -79,6 +78,10 @@ def words(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
+def _tokens(budget: float, all_tokens: int) -> int:
+    return int(budget * all_tokens) if budget <= 1 else int(budget)
+
+
 def mix(spark: SparkSession, docs: DataFrame, budget: float = 0.8, weights: Mapping[tuple, float] | None = None, epochs: int = 2, seed: int = 1, domain: Column | None = None, tokens: Column | None = None, carry: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, domain, lang, source, n_tokens, copies (epochs that take it), leaf_budget,
     and the column ``carry`` if named.
@@ -88,7 +91,8 @@ def mix(spark: SparkSession, docs: DataFrame, budget: float = 0.8, weights: Mapp
     the last epoch takes the longest prefix that its budget covers, so a leaf stays below it by less than one document.
     Null domains, languages and sources are leaves of their own, written as null; null texts have no token and come
     with their place in the order; repeated rows lie side by side and are taken or left one by one. An empty table
-    gives no row.
+    gives no row. The same holds for any number of leaves; above MAX_LEAVES weights count in whole millionths and the
+    last single tokens of a budget may lie with other siblings.
     """
     staged = Staged(spark, "mixing")
     leaf = [F.coalesce(c.cast("string"), F.lit("\x00")) for c in (crc_mod("source", 4) if domain is None else domain, F.col("lang"), F.col("source"))]
@@ -96,28 +100,24 @@ def mix(spark: SparkSession, docs: DataFrame, budget: float = 0.8, weights: Mapp
     kept = ["doc_id", *([carry] if carry else [])]
     rows = docs.select(*kept, *(c.alias(n) for c, n in zip(leaf, LEVELS)), count.cast("long").alias("n_tokens"), F.xxhash64("text").alias("text_hash"))
     rows = staged.write(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
+    keys = list(LEVELS)
     found = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n")).limit(MAX_LEAVES + 1).collect()
-    if len(found) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves; give a coarser tree")
-    have = {tuple(r[c] for c in LEVELS): r["n"] for r in found}
-    total = int(budget * sum(have.values())) if budget <= 1 else int(budget)
-    share = budgets(total, {k: n * epochs for k, n in have.items()}, weights or {})
-    plan = [(*k, share[k], share[k] // n if n else epochs, share[k] % n if n else 0) for k, n in have.items()]
-    table = F.broadcast(spark.createDataFrame(plan, "domain string, lang string, source string, leaf_budget long, whole long, rest long"))
+    few = len(found) <= MAX_LEAVES
+    if few:
+        have = {tuple(r[c] for c in LEVELS): r["n"] for r in found}
+        share = budgets(_tokens(budget, sum(have.values())), {k: n * epochs for k, n in have.items()}, weights or {})
+        plan = [(*k, share[k], share[k] // n if n else epochs, share[k] % n if n else 0) for k, n in have.items()]
+        table = spark.createDataFrame(plan, "domain string, lang string, source string, leaf_budget long, whole long, rest long")
+    else:
+        leaves = staged.write(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("own")).withColumn("supply", F.col("own") * epochs), "leaves")
+        total = _tokens(budget, leaves.agg(F.sum("own")).first()[0])
+        shared = hand_down(staged, leaves, LEVELS, weights or {}, total)
+        parts = [F.expr(f"CASE WHEN own > 0 THEN {e} ELSE {z} END").cast("long").alias(c) for c, e, z in (("whole", "share DIV own", epochs), ("rest", "share % own", 0))]
+        table = staged.write(shared.select(*LEVELS, F.col("share").alias("leaf_budget"), *parts), "plan")
 
     order = F.xxhash64(F.lit(seed), "whole", "doc_id", "text_hash")
-    placed = rows.join(table, list(LEVELS)).withColumn("order", order).withColumn("slice", F.shiftrightunsigned("order", 52).cast("int"))
-    slices = placed.where("rest > 0").groupBy(*LEVELS, "slice").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-    upto = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))
-    # The slice in which a leaf's budget ends: all before it are taken, none after it.
-    last = slices.withColumn("upto", upto).where("upto > rest").groupBy(*LEVELS).agg(F.min("slice").alias("last"), F.min_by(F.col("upto") - F.col("n"), "slice").alias("before"))
-    placed = placed.join(F.broadcast(last), list(LEVELS), "left")
-    within = placed.where("slice = last")
-    run = F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("order", "doc_id", "rid").rowsBetween(Window.unboundedPreceding, 0))
-    edge = within.withColumn("run", F.col("before") + run).withColumn("extra", (F.col("run") <= F.col("rest")).cast("long"))
-    rest = placed.where("last IS NULL OR slice <> last").withColumn("extra", ((F.col("rest") > 0) & F.coalesce(F.col("slice") < F.col("last"), F.lit(True))).cast("long"))
-    columns = [*kept, *LEVELS, "n_tokens", "whole", "extra", "leaf_budget"]
-    out = rest.select(*columns).union(edge.select(*columns))
+    placed = attach(staged, rows, table, keys, few).withColumn("order", order).withColumnRenamed("n_tokens", "n")
+    out = prefix(staged, placed, keys, ["doc_id", "rid"], few).withColumnRenamed("n", "n_tokens")
     named = [F.when(F.col(c) != "\x00", F.col(c)).alias(c) for c in LEVELS]
     return out.select("doc_id", *named, "n_tokens", (F.col("whole") + F.col("extra")).alias("copies"), "leaf_budget", *kept[1:])
 

@@ -4,6 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from vellumine.operators import ledger
 from vellumine.sources import html, papers, sinks
 from vellumine.streaming import ledger_stream
 
@@ -95,6 +96,38 @@ def test_breaker_steps():
     assert seen == ["closed"] * 4 + ["open", "open", "closed", "closed"]
 
 
+def test_failures_of_one_incident_count_once():
+    state, seen = ("closed", 0, 0.0), []
+    for at in (0, 1, 1.5, 3, 5.5, 8, 9, 10.5, 12):
+        state = ledger_stream.step(state, float(at), False, within=ledger_stream.INCIDENT_SECONDS)
+        seen.append(state[:2])
+    assert seen == [("closed", 1)] * 3 + [("closed", 2), ("closed", 3), ("closed", 4), ("closed", 4), ("open", 5), ("open", 5)]
+    assert ledger_stream.step(state, 40.5, False, within=2.0) == ("open", 1, 40.5) and ledger_stream.step(state, 40.5, True) == ("closed", 0, 10.5)
+
+
+def swept(jobs, now, ttl, most, budget):
+    """Evicts the oldest job of a store again and again."""
+    alive = [j for j in jobs if j[2] is None or now - j[2] <= ttl]
+    for store in {j[0] for j in jobs}:
+        done = sorted((j for j in alive if j[0] == store and j[2] is not None), key=lambda j: (j[2], j[1]))
+        while done and (len(done) > most or (budget > 0 and len(done) > 1 and sum(j[3] or 0 for j in done) > budget)):
+            alive.remove(done.pop(0))
+    return sorted((j[1] for j in alive), key=str)
+
+
+@pytest.mark.parametrize("ttl, most, budget", [(50, 5, 40), (200, 3, 0), (200, 0, 10), (40, 100, 25), (200, 4, 1)])
+def test_retention_against_eviction_one_by_one(spark, ttl, most, budget):
+    import random
+
+    rng = random.Random(ttl + most)
+    jobs = [(rng.choice([None, 1, 2]), i, rng.choice([None, *range(90, 190, 7)]), rng.choice([None, 0, 9, 30])) for i in range(60)]
+    schema = "store long, job_id long, finished double, size long"
+    rows = spark.createDataFrame([(a, b, c and float(c), d) for a, b, c, d in jobs], schema).withColumn("finished", F.timestamp_seconds("finished"))
+    now = F.timestamp_seconds(F.lit(190))
+    assert sorted((r["job_id"] for r in ledger.retained(rows, now, ttl, most, budget).collect()), key=str) == swept(jobs, 190, ttl, most, budget)
+    assert ledger.retained(rows.where("false"), now, ttl, most, budget).count() == 0
+
+
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "in")
     rows = [(1, float(i), False) for i in range(5)] + [(1, 50.0, True), (2, 0.0, True)]

@@ -88,6 +88,22 @@ def append_lines(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("append").text(path)
 
 
+def retained(jobs: DataFrame, now, ttl: float, most: int, budget: int) -> DataFrame:
+    """The jobs (store, job_id, finished, size) that each store still keeps at ``now``.
+
+    Finished jobs go after ``ttl`` seconds; of the others a store keeps the newest ``most``, ties by the larger job_id, and
+    of these the newest whose sizes fit ``budget`` together (0: any), but its newest for size alone always. Unfinished jobs
+    stay. A null size is none, a null store is a store. Tasks hold at most ``most`` rows of a store where that is below
+    ``spark.sql.optimizer.windowGroupLimitThreshold``: the ranks are cut before the shuffle.
+    """
+    age = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("finished").cast("timestamp"))
+    newest = Window.partitionBy("store").orderBy(F.desc("finished"), F.desc("job_id"))
+    ranked = jobs.where(age <= int(ttl * 1_000_000)).withColumn("__rank", F.row_number().over(newest)).where(F.col("__rank") <= most)
+    held = F.sum(F.coalesce("size", F.lit(0))).over(newest.rowsBetween(Window.unboundedPreceding, 0))
+    kept = ranked.withColumn("__held", held).where((F.lit(budget) <= 0) | (F.col("__rank") == 1) | (F.col("__held") <= budget))
+    return kept.drop("__rank", "__held").unionByName(jobs.where("finished IS NULL"))
+
+
 def top_codes(log: DataFrame, n: int = 10) -> DataFrame:
     """The commonest codes, ties by name; a top-n report by design."""
     return log.groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "code").limit(n)

@@ -84,6 +84,15 @@ def rate_limit(spark, sf_dir):
     return ledger.sliding_excess(made(spark, sf_dir, "log"), 3600, 2).select("key", "line_no", "in_window")
 
 
+def job_retention(spark, sf_dir):
+    """2.10: what every user's store of jobs keeps after the last event: ten days, forty jobs, 1,500 bytes; errors never finish."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    finished = F.when(F.col("event_type") != "error", F.col("ts"))
+    jobs = events.select(F.col("user_id").alias("store"), F.col("event_id").alias("job_id"), finished.alias("finished"), F.floor("value").cast("long").alias("size"))
+    now = events.agg(F.unix_micros(F.max("ts").cast("timestamp"))).first()[0]
+    return ledger.retained(jobs, F.timestamp_micros(F.lit(now).cast("long")), 10 * 86400, 40, 1500).select("store", "job_id", "size")
+
+
 def affiliations(spark, sf_dir):
     """Distinct affiliations of a paper with their authors."""
     rows = made(spark, sf_dir, "author").select("paper_id", "author_id", F.explode(F.split("affiliation", "; ")).alias("affiliation"))
@@ -92,7 +101,7 @@ def affiliations(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (bib_best_match, bib_consolidate_fill, bib_consolidate_replace, bib_verify, verify_tally, validation_issues, ledger_latest, ledger_attempts, ledger_plan, ledger_trailing, ledger_report, ledger_top_codes, ledger_usage, rate_limit, affiliations)
+    for f in (bib_best_match, bib_consolidate_fill, bib_consolidate_replace, bib_verify, verify_tally, validation_issues, ledger_latest, ledger_attempts, ledger_plan, ledger_trailing, ledger_report, ledger_top_codes, ledger_usage, rate_limit, job_retention, affiliations)
 }
 
 _RANK = "CASE service WHEN 'crossref' THEN 0 WHEN 'datacite' THEN 1 WHEN 'pubmed' THEN 2 WHEN 'openalex' THEN 3 ELSE 4 END"
@@ -165,5 +174,14 @@ ORACLES = {
     "ledger_top_codes": f"WITH {sql('log')} SELECT code, count(*) AS n FROM log GROUP BY 1 ORDER BY n DESC, code LIMIT 3",
     "ledger_usage": f"WITH {sql('log')} SELECT label, model, count(*) AS calls, sum(tokens)::BIGINT AS tokens, grouping(label, model) AS level FROM log GROUP BY ROLLUP (label, model)",
     "rate_limit": f"WITH {sql('log')}, w AS (SELECT key, line_no, count(*) OVER (PARTITION BY key ORDER BY happened RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM log) SELECT * FROM w WHERE in_window > 2",
+    "job_retention": """
+        WITH j AS (SELECT user_id AS store, event_id AS job_id, CASE WHEN event_type <> 'error' THEN ts END AS finished, floor(value)::BIGINT AS size FROM events),
+        r AS (
+            SELECT *, row_number() OVER w AS place, sum(coalesce(size, 0)) OVER w AS held FROM j
+            WHERE finished >= (SELECT max(ts) FROM events) - INTERVAL 240 HOURS
+            WINDOW w AS (PARTITION BY store ORDER BY finished DESC, job_id DESC ROWS UNBOUNDED PRECEDING))
+        SELECT store, job_id, size FROM r WHERE place <= 40 AND (place = 1 OR held <= 1500)
+        UNION ALL SELECT store, job_id, size FROM j WHERE finished IS NULL
+    """,
     "affiliations": f"WITH {sql('author')}, a AS (SELECT DISTINCT paper_id, author_id, lower(unnest(string_split(affiliation, '; '))) AS affiliation FROM author) SELECT paper_id, affiliation, string_agg(author_id::VARCHAR, ',' ORDER BY author_id) AS author_ids FROM a GROUP BY ALL",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 5
 RESET_SECONDS = 30.0
+INCIDENT_SECONDS = 2.0
 STATES = "key long, at double, state string, failures int"
 
 
@@ -27,22 +28,29 @@ def dedup_uploads(log: DataFrame, late: str = "1 hour") -> DataFrame:
     return log.withWatermark("happened", late).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
-def step(state: tuple[str, int, float], at: float, ok: bool, threshold: int = THRESHOLD, reset: float = RESET_SECONDS) -> tuple[str, int, float]:
-    """One event of a breaker: closed opens after ``threshold`` failures in a row; after ``reset`` seconds one trial decides."""
-    name, failures, opened = state
-    if name == "open" and at - opened >= reset:
-        name = "half_open"
+def step(state: tuple[str, int, float], at: float, ok: bool, threshold: int = THRESHOLD, reset: float = RESET_SECONDS, within: float = 0.0) -> tuple[str, int, float]:
+    """One event of a breaker: closed opens after ``threshold`` failures in a row; after ``reset`` seconds one trial decides.
+
+    The state is its name, the failures and the time of the last counted one. A failure up to ``within`` seconds after that
+    belongs to the same incident and is not counted. A trial starts from no failures.
+    """
+    name, failures, last = state
+    if name == "open" and at - last >= reset:
+        name, failures = "half_open", 0
     if name == "open":
-        return name, failures, opened
+        return name, failures, last
     if ok:
-        return "closed", 0, opened
-    if name == "half_open" or failures + 1 >= threshold:
-        return "open", failures + 1, at
-    return "closed", failures + 1, opened
+        return "closed", 0, last
+    if not failures or within <= 0 or at - last > within:
+        failures, last = failures + 1, at
+    return ("open" if name == "half_open" or failures >= threshold else "closed"), failures, last
+
 
+def breaker(events: DataFrame, within: float = 0.0) -> DataFrame:
+    """State changes of each key's breaker over a stream of (key long, at double, ok boolean).
 
-def breaker(events: DataFrame) -> DataFrame:
-    """State changes of each key's breaker over a stream of (key long, at double, ok boolean)."""
+    ``within`` merges failures of one incident, INCIDENT_SECONDS where requests run side by side.
+    """
     import pandas as pd
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -56,4 +64,4 @@ def breaker(events: DataFrame) -> DataFrame:
         state.update(now)
         yield pd.DataFrame(out, columns=["key", "at", "state", "failures"])
 
-    return events.groupBy("key").applyInPandasWithState(run, STATES, "state string, failures int, opened double", "append", "NoTimeout")
+    return events.groupBy("key").applyInPandasWithState(run, STATES, "state string, failures int, last double", "append", "NoTimeout")

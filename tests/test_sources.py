@@ -145,6 +145,23 @@ def test_streams(spark, tmp_path):
     assert [tuple(r) for r in spark.sql("SELECT paper_id, status, verdicts FROM verdicts").collect()] == [(1, "ok", 2)]
 
 
+def test_running_plan_ends_as_the_plan_of_the_whole_log(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    lines = [(rng.randint(1, 12), n, rng.choice(["started", "started", "failed", "ok", "skipped"])) for n in range(120)]
+    schema, path = "paper_id long, line_no long, status string", str(tmp_path / "log")
+    q = None
+    for part in (lines[:50], lines[50:90], lines[90:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        q = q or ledger_stream.running_plan(spark.readStream.schema(schema).parquet(path)).writeStream.format("memory").queryName("plan").outputMode("update").start()
+        q.processAllAvailable()
+    q.stop()
+    last = {r["paper_id"]: (r["unsettled"], r["runs_again"]) for r in spark.table("plan").collect()}
+    whole = ledger.unsettled(spark.createDataFrame(lines, schema), F.col("status") == "failed").collect()
+    assert last == {r["paper_id"]: (r["unsettled"], r["runs_again"]) for r in whole}
+
+
 def test_jats_in_full():
     data = b"""<?xml version="1.0"?><!DOCTYPE article [<!ELEMENT x ANY>]><article xmlns:m="http://www.w3.org/1998/Math/MathML"><front><article-title>Tides<xref>1</xref></article-title>
     <contrib-group><contrib contrib-type="author"><name><surname>Alder</surname><given-names>Ada</given-names></name></contrib><contrib contrib-type="author"><collab>Kelp Group</collab></contrib></contrib-group></front>

@@ -7,15 +7,42 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumine.operators.ledger import MAX_UNSETTLED, STARTED
+
 THRESHOLD = 5
 RESET_SECONDS = 30.0
 INCIDENT_SECONDS = 2.0
+PLAN = "paper_id long, status string, unsettled long, runs_again boolean"
 STATES = "key long, at double, state string, failures int"
 
 
 def latest_verdicts(log: DataFrame) -> DataFrame:
     """Running latest verdict and attempt count per paper; for update or complete mode."""
-    return log.where("status <> 'started'").groupBy("paper_id").agg(F.max_by("status", "line_no").alias("status"), F.count(F.lit(1)).alias("verdicts"))
+    return log.where(F.col("status") != STARTED).groupBy("paper_id").agg(F.max_by("status", "line_no").alias("status"), F.count(F.lit(1)).alias("verdicts"))
+
+
+def running_plan(log: DataFrame, most: int = MAX_UNSETTLED) -> DataFrame:
+    """Each paper's verdict, failures and killed attempts since its last ok, and whether it runs again, after every batch of lines.
+
+    Over a stream of (paper_id long, line_no long, status string) in update mode, as ``ledger.unsettled`` over the whole log:
+    a start is killed when another follows it, or nothing yet. Lines of a paper come in the order of ``line_no``, batch by batch.
+    """
+    import pandas as pd
+
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        status, settled, started = state.get if state.exists else (None, 0, False)
+        lines = sorted((n, s) for rows in batches for n, s in zip(rows["line_no"], rows["status"]))
+        for _, line in lines:
+            if line == STARTED:
+                settled, started = settled + started, True
+                continue
+            status, started = line, False
+            settled = 0 if line == "ok" else settled + (line == "failed")
+        state.update((status, int(settled), started))
+        count = int(settled) + started
+        yield pd.DataFrame([(key[0], status, count, status != "ok" and count < most)], columns=["paper_id", "status", "unsettled", "runs_again"])
+
+    return log.groupBy("paper_id").applyInPandasWithState(run, PLAN, "status string, settled long, started boolean", "update", "NoTimeout")
 
 
 def request_windows(log: DataFrame, width: str = "1 hour", step: str = "30 minutes", late: str = "10 minutes", most: int = 2) -> DataFrame:

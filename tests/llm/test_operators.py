@@ -509,6 +509,66 @@ def test_training_on_very_long_labelled_texts(spark, monkeypatch):
     assert net.trained and net.score(hasher.ids("vile vile vile")) > net.score(hasher.ids("calm calm calm"))
 
 
+def test_training_takes_every_labelled_row(spark):
+    # More documents than the old sample's 2,000 and 4,000, and one above its 1 MiB; each has one word a language.
+    rows = [(i, "vile" if i < 5000 else "calm", "en") for i in range(11_000)] + [(11_000, "calm " * 300_000, "en"), (11_001, "one two", "de"), (11_002, None, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (docs["doc_id"] < 5000).cast("int").alias("toxic"))
+    net, hasher = toxicity.learn(spark, docs.repartition(1), labels), toxicity.Hasher()
+    vile, calm, one, two = (int(hasher.ids(w)[0]) >> 15 for w in ("vile", "calm", "one", "two"))
+    share = np.exp(net.words_by_lang.astype(np.float64))
+    assert net.langs == ["de", "en"]
+    assert share[[vile, calm, one], 1] * (toxicity.BUCKETS + 5000 + 306_000) == pytest.approx([5001, 306_001, 1], rel=1e-4)
+    assert share[[one, two, vile], 0] * (toxicity.BUCKETS + 2) == pytest.approx([2, 2, 1], rel=1e-4)
+    assert net.score(hasher.ids("vile")) >= 0.5 > net.score(hasher.ids("calm"))
+    # The same rows in another order and other partitions give the same network, to the last bit.
+    again = toxicity.learn(spark, docs.repartition(5).sortWithinPartitions("doc_id", ascending=False), labels)
+    for a, b in ((net.tables[0], again.tables[0]), (net.tables[1], again.tables[1]), (net.out, again.out), (net.cut, again.cut), (net.words_by_lang, again.words_by_lang)):
+        assert np.array_equal(a, b)
+
+
+def test_gradient_against_differences():
+    rng = np.random.default_rng(3)
+    rows = [(0, i % 2, "x", rng.integers(0, 1 << 30, n).astype(np.int32)) for i, n in enumerate((1, 2, 5, 40, 0, 9))]
+    p = toxicity.start(np.zeros((2, 2, toxicity.BUCKETS)), np.array([3, 3]), 1)
+    p.bias[:] = 0.5
+    weight = [1 / 6, 1 / 6]
+
+    def loss(flat):
+        net, total = toxicity.Parameters(flat.astype(np.float64)).network(np.zeros((toxicity.BUCKETS, 0)), []), 0.0
+        for _, label, _, ids in rows:
+            total += weight[label] * math.log1p(math.exp(-net.logit(ids) if label else net.logit(ids)))
+        return total
+
+    ((_, got),) = toxicity._gradient(rows, p.flat, weight)
+    got = got * toxicity.GRAIN
+    moved = np.flatnonzero(got)
+    for i in [*moved[:: max(1, len(moved) // 60)], *range(len(p.flat) - 45, len(p.flat))]:
+        step = np.zeros_like(p.flat)
+        step[i] = 1e-3
+        assert got[i] == pytest.approx((loss(p.flat + step) - loss(p.flat - step)) / 2e-3, abs=2e-3)
+
+
+def test_filters_in_several_turns(monkeypatch):
+    rng = np.random.default_rng(6)
+    net = toxicity.train([(i % 2, False, "x", rng.integers(0, 1 << 30, 9).astype(np.int32)) for i in range(20)])
+    for n in (1, 3, 4, 5, 8, 57):
+        ids = rng.integers(0, 1 << 30, n).astype(np.int32)
+        whole, read = net.maxima(ids), net.language(ids)
+        monkeypatch.setattr(toxicity, "TRAIN_DOCUMENT", 4)
+        assert all(np.array_equal(a, b) for a, b in zip(net.maxima(ids), whole)) and net.language(ids) == read
+        monkeypatch.undo()
+
+
+def test_threshold_has_the_best_f1():
+    rng = np.random.default_rng(8)
+    z = np.round(rng.normal(0, 2, 400), 1)
+    y = (z + rng.normal(0, 1.5, 400) > 1).astype(int)
+    found = toxicity.Counter((0, math.floor(a * toxicity.CELLS), int(b)) for a, b in zip(z, y))
+    f1 = lambda cut: 2 * ((z >= cut) & (y == 1)).sum() / ((z >= cut).sum() + y.sum())
+    assert f1(toxicity._best_cut(found)) == max(f1(c) for c in z)
+
+
 def test_cache_is_compacted(spark, awkward, tmp_path):
     path, cache = queries.tokenizer("word_bpe_49k.json"), str(tmp_path / "cache")
     version = token_counts.tokenizer_digest(path)

@@ -444,6 +444,19 @@ def test_recall_of_the_lattices():
         assert found.mean() >= 0.95
 
 
+def test_links_do_not_depend_on_the_number_of_rows(spark):
+    rng = np.random.default_rng(21)
+    a = rng.normal(size=(2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (b * a).sum(1, keepdims=True) * a
+    b = 0.9501 * a + math.sqrt(1 - 0.9501**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(np.concatenate((a, b)).tolist())], "vec_id long, embedding array<double>")
+    more = spark.range(4000, 204_001).selectExpr("id AS vec_id", "CAST(NULL AS array<double>) AS embedding")
+    few, many = (tuples(embed_dedup.near_vectors(spark, v).where("vec_id < 4000"), "vec_id", "n_links", "component_id") for v in (df, df.union(more)))
+    assert few == many and sum(n for _, n, _ in few) >= 2 * 2000 * 0.99
+
+
 @pytest.mark.parametrize("n", [1, 2_000_000])
 def test_settling_within_cells(spark, n):
     """Rings, gaps and blocks join what all pairs join where hubs leave vectors apart: points along arcs."""

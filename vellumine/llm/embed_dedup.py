@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from .common import Staged, bounded_batches
 from .graph import blocks_of, components
 
-TABLES = 16
+TABLES = 24
 PROBES = 4
-#: Blocks of a cell and the scale of their projections, by the number of vectors up to which they serve: chance
-#: neighbours must not grow with the table. At cosine 0.95 the recall of a pair is 0.998, 0.990 and 0.972 for them, and
-#: two random vectors meet with probability 3e-5, 4e-6 and 1e-6 in 64 dimensions.
-SIZES = ((200_000, 2, 1.9), (2_000_000, 3, 1.5), (math.inf, 4, 1.3))
+#: Up to how many vectors, blocks of a cell and scale of their projections: one setting for any number, so that whether a
+#: pair is found never depends on what else is in the table. At cosine 0.95 the recall of a pair is 0.998 or more, and two
+#: random vectors meet with probability 1e-5 in 64 dimensions.
+SIZES = ((math.inf, 3, 1.5),)
 #: Vectors of a block when links are counted, and when what the hubs leave apart is settled.
 BLOCK = 512
 
@@ -116,10 +116,10 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, key: str = "vec_id", v
     staged = Staged(spark, "lattice")
     v = F.col(vector).cast("array<double>")
     bad = v.isNull() | (F.size(v) < 1) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(v, lambda x: x != 0)
-    rows, (n, *_) = staged.write_observed(vectors.select(F.monotonically_increasing_id().alias("cid"), F.col(key).alias("id"), F.when(~bad, v).alias("v")), "vectors", F.count(F.lit(1)))
+    rows = staged.write(vectors.select(F.monotonically_increasing_id().alias("cid"), F.col(key).alias("id"), F.when(~bad, v).alias("v")), "vectors")
     good = rows.where(F.col("v").isNotNull()).select("cid", F.size("v").alias("dim"), "v")
 
-    parts = _components(staged, good, n, least)
+    parts = _components(staged, good, None, least)
     roots = staged.write(parts.union(parts.select(F.col("root").alias("node"), "root").distinct()), "roots")
     inside = staged.write(good.join(roots, F.col("cid") == F.col("node")).select("cid", "root", "v"), "inside")
     counts = _count_links(staged, inside, least)
@@ -131,9 +131,9 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, key: str = "vec_id", v
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
 
-def _components(staged: Staged, good: DataFrame, n: int, least: float) -> DataFrame:
-    """(node, root) of the components of all links found among the vectors ``good``: cid, dim, v."""
-    _, blocks, scale = next(s for s in SIZES if n <= s[0])
+def _components(staged: Staged, good: DataFrame, n: int | None, least: float) -> DataFrame:
+    """(node, root) of the components of all links found among the vectors ``good``: cid, dim, v; ``n``, how many they are, is not read."""
+    ((_, blocks, scale),) = SIZES
 
     def hash_all(batches):
         import pyarrow as pa

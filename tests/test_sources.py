@@ -263,3 +263,15 @@ def test_ledger_lines(spark, tmp_path):
     assert [r["status"] for r in rows.collect()] == ["ok"] and bad.first()["malformed"] == 2
     ledger.append_lines(rows, str(tmp_path / "log"))
     assert ledger.read_lines(spark.read.text(str(tmp_path / "log")).select(F.lit(1).cast("long").alias("line_no"), "value"))[0].count() == 1
+
+
+def test_made_files_are_the_same_at_any_time(spark, monkeypatch):
+    from vellumine.plans import source_queries
+
+    made = {}
+    for year in (2001, 2002):
+        monkeypatch.setattr(zipfile.time, "localtime", lambda *_: (year, 1, 1, 0, 0, 0, 0, 1, 0))
+        made[year] = [source_queries._file(i, ["a", "b"]) for i in range(4)]
+    assert made[2001] == made[2002]
+    files = spark.createDataFrame([(f"a/{i}", made[2001][i], i) for i in range(4)], "path string, content binary, no long")
+    assert [(r["no"], r["kind"], len(r["blocks"])) for r in papers.read_papers(files, "no").orderBy("no").collect()] == [(0, "jats", 3), (1, "html", 3), (2, "docx", 3), (3, "epub", 3)]

@@ -35,14 +35,16 @@ def _file(doc_id: int, lines: list[str]) -> bytes:
         return f"<!DOCTYPE html><html><body><h1>{title}</h1>{body}</body></html>".encode()
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
+        # Members carry a fixed date, so that a file made again has the same bytes and with them the same id.
+        put = lambda name, text: z.writestr(zipfile.ZipInfo(name), text)
         if kind == 2:
             runs = "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in lines)
-            z.writestr("word/document.xml", f'<w:document xmlns:w="{_WORD}"><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>{title}</w:t></w:r></w:p>{runs}</w:body></w:document>')
+            put("word/document.xml", f'<w:document xmlns:w="{_WORD}"><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>{title}</w:t></w:r></w:p>{runs}</w:body></w:document>')
         else:
-            z.writestr("mimetype", "application/epub+zip")
-            z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="b/c.opf"/></rootfiles></container>')
-            z.writestr("b/c.opf", '<package><manifest><item id="x" href="x.html"/></manifest><spine><itemref idref="x"/></spine></package>')
-            z.writestr("b/x.html", f"<html><body><h1>{title}</h1>{body}</body></html>")
+            put("mimetype", "application/epub+zip")
+            put("META-INF/container.xml", '<container><rootfiles><rootfile full-path="b/c.opf"/></rootfiles></container>')
+            put("b/c.opf", '<package><manifest><item id="x" href="x.html"/></manifest><spine><itemref idref="x"/></spine></package>')
+            put("b/x.html", f"<html><body><h1>{title}</h1>{body}</body></html>")
     return out.getvalue()
 
 
@@ -59,8 +61,7 @@ def _files(spark, sf_dir):
 
 def paper_files(spark, sf_dir):
     """Every document as a file of one of four kinds, read back to blocks."""
-    ids = papers.paper_ids(_files(spark, sf_dir))
-    rows = papers.read_papers(ids.select("path", "content")).join(ids.select("paper_id", "doc_id"), "paper_id")
+    rows = papers.read_papers(_files(spark, sf_dir), "doc_id")
     text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
     return rows.select("doc_id", "kind", "title", F.size("blocks").cast("long").alias("n_blocks"), F.md5(text).alias("text_md5"), "problem")
 

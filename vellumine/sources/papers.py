@@ -373,21 +373,22 @@ def validated(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("problem IS NULL").drop("problem"), rows.where("problem IS NOT NULL").drop("content")
 
 
-def read_papers(files: DataFrame) -> DataFrame:
-    """paper_id, kind, sha256 and the parsed document of binary files (path, content)."""
+def read_papers(files: DataFrame, *keep: str) -> DataFrame:
+    """paper_id, kind, sha256 and the parsed document of binary files (path, content), with their columns ``keep``."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    rows = paper_ids(files).select("paper_id", "sha256", sniff(F.col("content")).alias("kind"), "content")
-    schema = _parse_datatype_string(f"paper_id string, sha256 string, kind string, {PAPER}")
+    rows = paper_ids(files).select("paper_id", "sha256", sniff(F.col("content")).alias("kind"), *keep, "content")
+    kept = "".join(f"`{c}` {t}, " for c, t in rows.dtypes if c in keep)
+    schema = _parse_datatype_string(f"paper_id string, sha256 string, kind string, {kept}{PAPER}")
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
             got = [parse_any(k, c) for k, c in zip(batch.column("kind").to_pylist(), batch.column("content").to_pylist())]
             blocks = [[dict(zip(("kind", "level", "parent", "text"), b)) for b in g[2]] for g in got]
-            columns = [batch.column("paper_id"), batch.column("sha256"), batch.column("kind"), *([g[i] for g in got] if i != 2 else blocks for i in range(8))]
+            columns = [batch.column("paper_id"), batch.column("sha256"), batch.column("kind"), *map(batch.column, keep), *([g[i] for g in got] if i != 2 else blocks for i in range(8))]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, arrow)], names=[f.name for f in arrow])
 
     return rows.mapInArrow(run, schema)

@@ -146,3 +146,9 @@ def test_long_runs_take_no_long(unit):
     for run in (links.find_links, citation_text.citations, citation_text.mentions, citation_text.statistics_in, front_text.funding, front_text.affiliation, names.split_names, reference_text.segments, reference_text.parse, unicode.repair_value, unicode.clean_late_value, front_text.title_parts):
         run(text)
         assert time.time() - began < 20, run.__name__
+
+
+def test_mentions_are_not_read_from_addresses():
+    labels = lambda t: [(m["kind"], m["label"]) for m in citation_text.mentions(t)]
+    assert labels("er figa.20@mail9.example.com and fig.2@mail.example, see Fig. 3, b.4@mail.example") == [("figure", "3")]
+    assert labels("figa.20 taba1 Figs3 Fig. S2 Tab. A.4 fig.7") == [("figure", "3"), ("figure", "S2"), ("table", "A.4"), ("figure", "7")]

@@ -56,6 +56,18 @@ def test_segments_lose_nothing():
     assert reference_text.segments(None) == reference_text.segments("") == []
 
 
+def test_lists_of_more_than_999_entries():
+    entry = "Alder, A. ({}). A title of a work. J Kelp, 1, 2-3."
+    for mark in ("[{}] ", "{}. "):
+        lines = [mark.format(n) + entry.format(1990 + n % 30) for n in range(1, 2104)]
+        got = reference_text.segments("\n".join([*lines, "1998. What runs on."]))
+        assert [g["text"] for g in got] == [*lines[:-1], lines[-1] + " 1998. What runs on."] and {g["strategy"] for g in got} == {"numbered"}
+        assert reference_text.segmentation_quality(lines, True) == 1.0
+    assert reference_text.split_merged("[1000] Alder, A. One. [1001] Birch, B. Two, [1999] Three.", True) == ["[1000] Alder, A. One.", "[1001] Birch, B. Two, [1999] Three."]
+    assert reference_text.parse("[1000] Alder, A. (2001). T one. J Kelp, 2(1), 7-9.")["label"] == "1000"
+    assert [g["text"] for g in reference_text.segments("9" * 5000 + ". x")] == ["9" * 5000 + ". x"]
+
+
 def test_merged_references():
     paren = "Alder, A. B. (1999). First. Wiley. Birch, C. (2003). Second. Sage."
     assert reference_text.split_merged(paren) == ["Alder, A. B. (1999). First. Wiley.", "Birch, C. (2003). Second. Sage."]

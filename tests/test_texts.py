@@ -164,3 +164,11 @@ def test_mentions_are_not_read_from_addresses():
     labels = lambda t: [(m["kind"], m["label"]) for m in citation_text.mentions(t)]
     assert labels("er figa.20@mail9.example.com and fig.2@mail.example, see Fig. 3, b.4@mail.example") == [("figure", "3")]
     assert labels("figa.20 taba1 Figs3 Fig. S2 Tab. A.4 fig.7") == [("figure", "3"), ("figure", "S2"), ("table", "A.4"), ("figure", "7")]
+
+
+def test_quality_of_numbered_lists_of_any_length(spark):
+    from vellumine.operators import fulltext
+
+    lines = [f"{n}. Alder, A. ({1990 + n % 30}). A title of a work. J Kelp, 1, 2-3." for n in range(1, 1103)]
+    got = fulltext.list_quality(fulltext.reference_entries(spark.createDataFrame([(1, "\n".join(lines))], "paper_id long, text string"))).collect()
+    assert [(r["n_entries"], r["quality"]) for r in got] == [(1102, 1.0)]

@@ -65,8 +65,8 @@ def reference_entries(lists: DataFrame) -> DataFrame:
 
 def list_quality(entries: DataFrame) -> DataFrame:
     """paper_id, n_entries, typical_length (median, A15) and quality (share of well-formed characters, A16)."""
-    well = arrow_udf(lambda t: reference_text.segmentation_quality([t]) or 0.0, "double")
-    rows = entries.select("paper_id", F.length("text").alias("length"), (well("text") > 0).alias("good"))
+    well = arrow_udf(lambda t, numbered: reference_text.segmentation_quality([t], numbered) or 0.0, "double")
+    rows = entries.select("paper_id", F.length("text").alias("length"), (well("text", F.col("strategy") == "numbered") > 0).alias("good"))
     share = F.sum(F.when(F.col("good"), F.col("length")).otherwise(0)) / F.sum("length")
     return rows.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_entries"), F.median("length").alias("typical_length"), F.round(share, 6).alias("quality"))
 

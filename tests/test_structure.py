@@ -116,3 +116,20 @@ def test_operators_on_nulls_repeats_and_empty_tables(spark):
     counts = {name: (run(*tables).count(), run(*(t.where("false") for t in tables)).count()) for name, (run, tables, _) in cases.items()}
     assert counts == {name: (rows, 0) for name, (_, _, rows) in cases.items()}
     assert ledger.report(log.where("false").withColumn("model", F.lit("m"))).count() == 1
+
+
+def test_references_matched_like_greedy_over_all_pairs(spark):
+    rng = random.Random(5)
+    row = lambda i: (rng.choice([1, 2, None]), i, rng.choice([None, "10.5555/a", "10.5555/b", "https://doi.org/10.5555/A"]), rng.choice([None, "Tides of kelp and moss", "Tides of kelp and mosses", "Winter birds of winter"]), rng.choice([None, "Alder", "Birch"]), rng.choice([None, 2001, 2002]), "raw: tides of kelp and moss")
+    side = lambda at: spark.createDataFrame([row(at + i) for i in range(25)], "id long, ref long, doi string, title string, family string, year long, raw string").repartition(3)
+    gold, pred = side(0), side(100)
+    want, taken = [], set()
+    pairs = check.reference_pairs(gold, pred).collect()
+    assert len(pairs) == len({(p["id"], p["gold"], p["pred"]) for p in pairs}) > 60
+    for p in sorted(pairs, key=lambda p: (p["id"], -p["score"], p["gold"], p["pred"])):
+        if not {(p["id"], p["gold"]), (p["id"], p["pred"])} & taken:
+            taken |= {(p["id"], p["gold"]), (p["id"], p["pred"])}
+            want.append(tuple(p))
+    assert sorted(map(tuple, check.matched_references(gold, pred).collect())) == sorted(want)
+    plan = metrics.greedy_match(check.reference_pairs(gold, pred))._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan

@@ -70,19 +70,30 @@ def list_f1(rows: DataFrame, key: str = "id") -> DataFrame:
 def greedy_match(pairs: DataFrame, key: str = "id") -> DataFrame:
     """One-to-one matching of (key, gold, pred, score) pairs, best scores first, ties by gold, then pred.
 
-    Sequential within a key, so a group goes to one task: a paper's candidate pairs.
+    Sequential within a key, so a key's pairs go to one task. They are sorted there by Spark and pass by: only the names that are
+    taken are held, and any number of keys shares a task.
     """
 
-    def run(pdf):
-        used_gold, used_pred, keep = set(), set(), []
-        for i, row in enumerate(pdf.sort_values(["score", "gold", "pred"], ascending=[False, True, True]).itertuples(index=False)):
-            if row.gold not in used_gold and row.pred not in used_pred:
-                used_gold.add(row.gold)
-                used_pred.add(row.pred)
-                keep.append(row)
-        return type(pdf)(keep, columns=pdf.columns)
+    def run(batches):
+        import pyarrow as pa
 
-    return pairs.where("score > 0").groupBy(key).applyInPandas(run, pairs.schema)
+        at, used_gold, used_pred = object(), set(), set()
+        for batch in batches:
+            keep = []
+            for k, gold, pred in zip(*(batch.column(c).to_pylist() for c in (key, "gold", "pred"))):
+                if k != at:
+                    at, used_gold, used_pred = k, set(), set()
+                keep.append(new := gold not in used_gold and pred not in used_pred)
+                if new:
+                    used_gold.add(gold)
+                    used_pred.add(pred)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return _best_first(pairs.where("score > 0"), key).mapInArrow(run, pairs.schema)
+
+
+def _best_first(pairs: DataFrame, key: str) -> DataFrame:
+    return pairs.repartition(key).sortWithinPartitions(key, F.desc("score"), F.asc_nulls_last("gold"), F.asc_nulls_last("pred"))
 
 
 def by_type(scores: DataFrame, kind: str, *metrics: str) -> DataFrame:

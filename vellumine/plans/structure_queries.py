@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import check, metrics, structure, validation
+from ..operators import check, structure, validation
 from .fixtures import made, sql
 from .printed import base, pick
 
@@ -163,8 +163,7 @@ def matched_references(spark, sf_dir):
     r = _sql(spark, sf_dir, "orders", f"SELECT k, title, f1, year, journal FROM {base('{t}', 'o_orderkey')} AS r").withColumn("title", F.concat("title", F.lit(" number "), "k"))
     side = lambda doi, title: r.select((F.col("k") - F.col("k") % 20).alias("id"), F.col("k").alias("ref"), doi.alias("doi"), title.alias("title"), F.col("f1").alias("family"), F.col("year"), F.concat_ws(" ", "f1", "title").alias("raw"))
     doi = F.concat(F.lit("10.5555/r"), F.col("k"))
-    pairs = check.reference_pairs(side(doi, F.col("title")), side(F.when(F.col("k") % 3 > 0, doi), F.when(F.col("k") % 5 > 0, F.col("title"))))
-    return metrics.greedy_match(pairs)
+    return check.matched_references(side(doi, F.col("title")), side(F.when(F.col("k") % 3 > 0, doi), F.when(F.col("k") % 5 > 0, F.col("title"))))
 
 
 def export_checks(spark, sf_dir):

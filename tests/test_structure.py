@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +134,12 @@ def test_references_matched_like_greedy_over_all_pairs(spark):
     assert sorted(map(tuple, check.matched_references(gold, pred).collect())) == sorted(want)
     plan = metrics.greedy_match(check.reference_pairs(gold, pred))._jdf.queryExecution().toString()
     assert "FlatMapGroupsInPandas" not in plan
+
+
+def test_outlines_with_repeated_titles(spark):
+    n, began = 60_000, time.monotonic()
+    outline = spark.range(n).selectExpr("1L AS paper_id", "id AS entry_id", "IF(id = 7, 'Quite another', 'Tides of kelp ' || id % 3) AS title", "id % 2 AS page")
+    headings = spark.range(n).selectExpr("1L AS paper_id", "id AS section_id", "'tides of  kelp ' || id % 3 AS header", "id % 4 AS page")
+    got = {r["entry_id"]: (r["section_id"], r["similarity"]) for r in structure.outline_headings(outline, headings).collect()}
+    assert len(got) == n - 1 and got[0] == (0, 0.9375) and got[1] == (1, 0.9375) and got[8] == (5, 0.9375)
+    assert time.monotonic() - began < 60  # pairs of all entries and headings took minutes

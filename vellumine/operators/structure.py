@@ -170,13 +170,19 @@ def captions_to_floats(captions: DataFrame, floats: DataFrame) -> DataFrame:
 
 
 def outline_headings(outline: DataFrame, headings: DataFrame, pages: int = 1, least: float = 0.8) -> DataFrame:
-    """paper_id, entry_id, section_id, similarity (J10): the heading most like an outline's entry within ``pages`` pages of it."""
-    o = outline.select("paper_id", "entry_id", F.lower(F.trim("title")).alias("a"), F.explode(F.sequence(F.col("page") - pages, F.col("page") + pages)).alias("page"))
-    h = headings.select("paper_id", "section_id", F.lower(F.trim("header")).alias("b"), "page")
+    """paper_id, entry_id, section_id, similarity (J10): the heading most like an outline's entry within ``pages`` pages of it.
+
+    Titles are compared once a page, however many entries and headings there have them; those of too different lengths are not.
+    """
+    o = outline.select("paper_id", "entry_id", F.lower(F.trim("title")).alias("a"), "page")
+    asked = o.select("paper_id", "page", "a").distinct().withColumn("at", F.explode(F.sequence(F.col("page") - pages, F.col("page") + pages)))
+    h = headings.select("paper_id", "section_id", F.lower(F.trim("header")).alias("b"), F.col("page").alias("at")).groupBy("paper_id", "at", "b").agg(F.min("section_id").alias("section_id"))
     longest = F.greatest(F.length("a"), F.length("b"))
     like = F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein("a", "b") / longest)
-    rows = o.join(h, ["paper_id", "page"]).withColumn("similarity", F.round(like, 6)).where(F.col("similarity") >= least)
-    best = rows.groupBy("paper_id", "entry_id").agg(F.max(F.struct("similarity", (-F.col("section_id")).alias("less"))).alias("b"))
+    near = F.abs(F.length("a") - F.length("b")) <= (1 - least) * longest + 1e-6 * longest
+    rows = asked.join(h, ["paper_id", "at"]).where(near).withColumn("similarity", F.round(like, 6)).where(F.col("similarity") >= least)
+    found = rows.groupBy("paper_id", "page", "a").agg(F.max(F.struct("similarity", (-F.col("section_id")).alias("less"))).alias("f"))
+    best = o.join(found, ["paper_id", "page", "a"]).select("paper_id", "entry_id", "f.*").groupBy("paper_id", "entry_id").agg(F.max(F.struct("similarity", "less")).alias("b"))
     return best.select("paper_id", "entry_id", (-F.col("b.less")).alias("section_id"), "b.similarity")
 
 

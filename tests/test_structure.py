@@ -143,3 +143,13 @@ def test_outlines_with_repeated_titles(spark):
     got = {r["entry_id"]: (r["section_id"], r["similarity"]) for r in structure.outline_headings(outline, headings).collect()}
     assert len(got) == n - 1 and got[0] == (0, 0.9375) and got[1] == (1, 0.9375) and got[8] == (5, 0.9375)
     assert time.monotonic() - began < 60  # pairs of all entries and headings took minutes
+
+
+def test_numbered_parents_of_long_papers(spark):
+    n, began = 300_000, time.monotonic()
+    rows = spark.range(n).selectExpr("1L AS paper_id", "id AS section_id", "CASE id % 3 WHEN 0 THEN '1 One' WHEN 1 THEN '1.1 Two' ELSE '1.1.2.1 Three' END AS header")
+    got = structure.numbered_parents(rows).where("section_id % 3 > 0").agg(F.count(F.lit(1)), F.count_if(F.col("parent_id") == F.col("section_id") - 1)).first()
+    assert tuple(got) == (n * 2 // 3, n * 2 // 3)
+    assert time.monotonic() - began < 60  # every heading met all others of its paper that have its prefix
+    few = spark.createDataFrame([(1, 1, "1 A"), (1, 1, "1.1 B"), (1, 2, "1.1 C"), (1, 2, "1.1.1 D"), (None, 1, "2 E"), (None, 2, "2.1 F")], "paper_id long, section_id long, header string")
+    assert {(r["paper_id"], r["section_id"], r["number"]): r["parent_id"] for r in structure.numbered_parents(few).collect()} == {(1, 1, "1"): None, (1, 1, "1.1"): None, (1, 2, "1.1"): 1, (1, 2, "1.1.1"): 1, (None, 1, "2"): None, (None, 2, "2.1"): None}

@@ -17,7 +17,11 @@ def numbered_parents(sections: DataFrame) -> DataFrame:
     parts = F.split("number", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "."))
     asks = rows.where(F.size(parts) > 1).select("paper_id", F.col("section_id").alias("child"), F.explode(prefixes).alias("number"))
-    found = asks.join(rows, ["paper_id", "number"]).where("section_id < child")
+    # The last earlier heading of a number: an as-of join by one union and window, where a heading's own asks come before it.
+    both = asks.select("paper_id", "number", F.col("child").alias("at"), F.lit(0).alias("side"), "child", F.lit(None).cast(rows.schema["section_id"].dataType).alias("section_id"))
+    both = both.union(rows.where("number IS NOT NULL").select("paper_id", "number", F.col("section_id").alias("at"), F.lit(1).alias("side"), F.lit(None).cast(rows.schema["section_id"].dataType).alias("child"), "section_id"))
+    last = F.last("section_id", True).over(Window.partitionBy("paper_id", "number").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("section_id", F.when(F.col("side") == 0, last)).where("section_id IS NOT NULL")
     best = found.groupBy("paper_id", "child").agg(F.max(F.struct(F.length("number").alias("n"), "section_id")).alias("b")).select("paper_id", F.col("child").alias("section_id"), F.col("b.section_id").alias("parent_id"))
     return rows.join(best, ["paper_id", "section_id"], "left")
 

@@ -153,3 +153,32 @@ def test_numbered_parents_of_long_papers(spark):
     assert time.monotonic() - began < 60  # every heading met all others of its paper that have its prefix
     few = spark.createDataFrame([(1, 1, "1 A"), (1, 1, "1.1 B"), (1, 2, "1.1 C"), (1, 2, "1.1.1 D"), (None, 1, "2 E"), (None, 2, "2.1 F")], "paper_id long, section_id long, header string")
     assert {(r["paper_id"], r["section_id"], r["number"]): r["parent_id"] for r in structure.numbered_parents(few).collect()} == {(1, 1, "1"): None, (1, 1, "1.1"): None, (1, 2, "1.1"): 1, (1, 2, "1.1.1"): 1, (None, 1, "2"): None, (None, 2, "2.1"): None}
+
+
+@pytest.mark.parametrize("block, most", [(3, 0), (1000, 10**6)])
+def test_author_year_against_all_pairs(spark, monkeypatch, block, most):
+    monkeypatch.setattr(citations, "BLOCK", block)
+    monkeypatch.setattr(citations, "BROADCAST_REFS", most)
+    rng = random.Random(7)
+    names = lambda: rng.choice([None, [], ["Alder"], ["alder", "Birch"], ["Alder", "Birch"], ["Birch", "Cedar"], ["Alder", None]])
+    row = lambda i: (rng.choice([1, 2, None]), i, rng.choice([2001, 2002, None]), names())
+    cites, refs = [row(i % 70) for i in range(80)], [row(i) for i in range(60)]
+    lead = lambda f: f[0].lower() if f else None
+    found = {}
+    for p, c, y, f in cites:
+        for q, b, z, g in refs:
+            if None not in (p, y, lead(f)) and (p, y, lead(f)) == (q, z, lead(g)):
+                found.setdefault((p, c), []).append(((len(set(f) & set(g)), -len(g)), b))
+    want = [(*k, b, 0.95 if n == 1 else 0.5) for k, v in found.items() for n in [sum(s == max(v)[0] for s, _ in v)] for s, b in v if s == max(v)[0]]
+    table = lambda rows, name: spark.createDataFrame(rows, f"paper_id long, {name} long, year long, families array<string>")
+    got = citations.link_author_year(table(cites, "cite_id"), table(refs, "bib_id"))
+    assert sorted(tuple(r)[:4] for r in got.collect()) == sorted(want)
+    assert citations.link_author_year(table(cites, "cite_id").where("false"), table(refs, "bib_id")).count() == 0
+
+
+def test_author_year_compares_forms(spark):
+    cites = spark.range(30_000).selectExpr("1L AS paper_id", "id AS cite_id", "2001L AS year", "IF(id % 100 = 0, array('Alder', 'Birch', 'Z' || id % 300), array('Alder')) AS families")
+    refs = spark.range(30_000).selectExpr("1L AS paper_id", "id AS bib_id", "2001L AS year", "IF(id < 2, array('Alder'), array('Alder', 'Birch')) AS families")
+    began = time.monotonic()
+    assert citations.link_author_year(cites, refs).where("cite_id % 100 > 0").count() == 29_700 * 2
+    assert time.monotonic() - began < 60  # 900,000,000 pairs went through a window

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 NUMERIC = r"\[(\d{1,3}(?:\s*[-–,;]\s*\d{1,3})*)\]"
 SPREAD = 15
+#: References of one form that a row carries at once, and references that are sent to every executor; more are joined by a shuffle.
+BLOCK, BROADCAST_REFS = 1000, 2_000_000
 
 
 def numeric_mentions(sentences: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -29,15 +31,30 @@ def link_author_year(cites: DataFrame, refs: DataFrame) -> DataFrame:
     """Author-year citations to references: equi-join on paper, year and first family; the best by further families, then
     fewer authors; equal bests are kept as ambiguous with half the confidence.
 
+    Citations and references are compared by their distinct forms in a paper. Only the best forms are written out to all
+    references that have them, ``BLOCK`` at a time, over many tasks: the rows are as many as the equal bests are.
+
     ``cites``: paper_id, cite_id, year, families (array); ``refs``: paper_id, bib_id, year, families (array).
     """
-    c = cites.withColumn("lead", F.lower(F.get("families", F.lit(0))))
-    r = refs.select("paper_id", "bib_id", "year", F.lower(F.get("families", F.lit(0))).alias("lead"), F.col("families").alias("theirs"))
-    pairs = c.join(r, ["paper_id", "year", "lead"])
+    spark = cites.sparkSession
+    lead = F.lower(F.get("families", F.lit(0)))
+    form = ["paper_id", "year", "families"]
+    sizes = refs.groupBy(*form).agg(F.count(F.lit(1)).alias("n")).withColumn("lead", lead).withColumnRenamed("families", "theirs")
     hits = F.size(F.array_intersect("families", "theirs"))
-    scored = pairs.withColumn("score", F.struct(hits.alias("hits"), (-F.size("theirs")).alias("fewer")))
+    scored = cites.select(*form).distinct().withColumn("lead", lead).join(sizes, ["paper_id", "year", "lead"]).withColumn("score", F.struct(hits.alias("hits"), (-F.size("theirs")).alias("fewer")))
+    best = scored.withColumn("top", F.max("score").over(Window.partitionBy(*form))).where("score = top").withColumn("slots", F.ceil(F.col("n") / BLOCK))
     w = Window.partitionBy("paper_id", "cite_id")
-    best = scored.withColumn("top", F.max("score").over(w)).where("score = top").withColumn("ties", F.count(F.lit(1)).over(w))
+    c = cites.select("cite_id", *form).join(best.groupBy(*form).agg(F.max("score").alias("score"), F.sum("n").alias("n")), form)
+    c = c.withColumn("top", F.max("score").over(w)).where("score = top").withColumn("ties", F.sum("n").over(w))
+    asked = c.select("cite_id", "ties", *form).join(best.select(*form, "theirs", F.explode(F.sequence(F.lit(1), "slots")).alias("slot")), form).drop("families")
+    slot = (F.pmod(F.xxhash64("bib_id"), F.ceil(F.col("n") / BLOCK)) + 1).alias("slot")
+    theirs = ["paper_id", "year", "theirs"]
+    listed = refs.select("paper_id", "year", F.col("families").alias("theirs"), "bib_id").join(sizes.drop("lead"), theirs).groupBy(*theirs, slot).agg(F.collect_list(F.struct("bib_id")).alias("ids"))
+    if refs.limit(BROADCAST_REFS + 1).count() <= BROADCAST_REFS:
+        listed = F.broadcast(listed)
+    # So few bytes lead to so many rows that their number of partitions is stated.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    best = asked.repartition(parts, "cite_id", "slot").join(listed, [*theirs, "slot"]).select("paper_id", "cite_id", "ties", F.inline("ids"))
     return best.select("paper_id", "cite_id", "bib_id", F.when(F.col("ties") == 1, 0.95).otherwise(0.5).alias("confidence"), F.when(F.col("ties") > 1, "ambiguous_same_surname_year").alias("reason"))
 
 

@@ -182,3 +182,23 @@ def test_author_year_compares_forms(spark):
     began = time.monotonic()
     assert citations.link_author_year(cites, refs).where("cite_id % 100 > 0").count() == 29_700 * 2
     assert time.monotonic() - began < 60  # 900,000,000 pairs went through a window
+
+
+def test_assignment_of_many_and_alike():
+    rng, began = random.Random(4), time.monotonic()
+    assert len(structure.assign([(a, b, round(rng.uniform(0, 6), 2)) for a in range(200) for b in range(200)])) < 200
+    for _ in range(200):
+        shapes = [[rng.choice([None, 0.5, 1.0, 1.25, 2.0]) for _ in range(3)] for _ in range(2)]
+        lefts, rights = ({i: rng.randint(1, 2) for i in range(k)} for k in (2, 3))
+        edges = [(a, b, shapes[a][b]) for a in lefts for b in rights if shapes[a][b]]
+        each = [((a, i), (b, j), s) for a, b, s in edges for i in range(lefts[a]) for j in range(rights[b])]
+        assert [((a, 0), (b, 0)) for a, b in structure.assign(edges, lefts=lefts, rights=rights)] == structure.assign(each)
+    assert time.monotonic() - began < 60  # solved anew without each pair
+
+
+def test_captions_of_one_place(spark):
+    box = "paper_id long, id long, kind string, page long, number long, x0 double, y0 double, x1 double, y1 double"
+    at = lambda i, page, number, y: (1, i, "figure", page, number, 0.0, y, 100.0, y + 20.0)
+    captions = spark.createDataFrame([at(1, 1, 1, 300.0), at(2, 1, 1, 300.0), at(3, 9, 4, 300.0), at(3, 9, 4, 300.0)], box)
+    floats = spark.createDataFrame([at(11, 1, 1, 270.0), at(12, 1, 2, 100.0), at(13, 9, 4, 270.0)], box)
+    assert [tuple(r) for r in structure.captions_to_floats(captions, floats).select("caption_id", "float_id").collect()] == [(3, 13)]

@@ -94,13 +94,14 @@ def remapped(rows: DataFrame, column: str, ids: DataFrame, key: str, name: str =
 EDGE = {"overlap": 0.2, "gap": 500.0, "same_page": 3.0, "next_page": 0.8, "per_overlap": 3.0, "near": 2.0, "per_gap": 250.0, "base": 0.3, "between": 0.75, "numbered": 1.5, "equal": 2.5, "other": 1.0, "margin": 0.25}
 
 
-def caption_edges(captions: DataFrame, floats: DataFrame) -> DataFrame:
+def caption_edges(captions: DataFrame, floats: DataFrame, *keep: str) -> DataFrame:
     """Scored candidate pairs of captions and floats of one kind, at most a page apart, that overlap sideways and lie near.
 
-    Both: paper_id, id, kind, page, number, x0, y0, x1, y1 (page units). Pages are matched by an equi-join on the neighbours.
+    Both: paper_id, id, kind, page, number, x0, y0, x1, y1 (page units). Pages are matched by an equi-join on the neighbours. Columns
+    ``keep`` of both come along as c_* and f_*.
     """
-    c = captions.select("paper_id", "kind", F.col("id").alias("caption_id"), F.explode(F.array(F.col("page") - 1, "page", F.col("page") + 1)).alias("at"), *(F.col(n).alias(f"c_{n}") for n in ("page", "number", "x0", "y0", "x1", "y1")))
-    f = floats.select("paper_id", "kind", F.col("id").alias("float_id"), F.col("page").alias("at"), *(F.col(n).alias(f"f_{n}") for n in ("number", "x0", "y0", "x1", "y1")))
+    c = captions.select("paper_id", "kind", F.col("id").alias("caption_id"), F.explode(F.array(F.col("page") - 1, "page", F.col("page") + 1)).alias("at"), *(F.col(n).alias(f"c_{n}") for n in ("page", "number", "x0", "y0", "x1", "y1", *keep)))
+    f = floats.select("paper_id", "kind", F.col("id").alias("float_id"), F.col("page").alias("at"), *(F.col(n).alias(f"f_{n}") for n in ("number", "x0", "y0", "x1", "y1", *keep)))
     both = c.join(f, ["paper_id", "kind", "at"])
     width = F.least("c_x1", "f_x1") - F.greatest("c_x0", "f_x0")
     overlap = F.greatest(F.lit(0.0), width / F.greatest(F.lit(1e-9), F.least(F.col("c_x1") - F.col("c_x0"), F.col("f_x1") - F.col("f_x0"))))
@@ -110,67 +111,157 @@ def caption_edges(captions: DataFrame, floats: DataFrame) -> DataFrame:
     score = F.when(same, EDGE["same_page"]).otherwise(EDGE["next_page"]) + EDGE["per_overlap"] * overlap + F.greatest(F.lit(0.0), EDGE["near"] - gap / EDGE["per_gap"]) + EDGE["base"]
     known = F.col("c_number").isNotNull()
     score = score + F.when(known, EDGE["numbered"]).otherwise(0.0) + F.when(known & (F.col("c_number") == F.col("f_number")), EDGE["equal"]).when(known & F.col("f_number").isNotNull(), -EDGE["other"]).otherwise(0.0)
-    return both.where((overlap >= EDGE["overlap"]) & (gap <= EDGE["gap"])).select("paper_id", "kind", "caption_id", "float_id", F.round(score, 6).alias("score"))
+    return both.where((overlap >= EDGE["overlap"]) & (gap <= EDGE["gap"])).select("paper_id", "kind", "caption_id", "float_id", F.round(score, 6).alias("score"), *(f"{s}_{n}" for s in "cf" for n in keep))
+
+
+#: Scores are taken to six places, as whole numbers, so that sums are exact; a pair without an edge costs more than any way around it.
+_UNIT, _NEVER, _FAR = 10**6, 1 << 50, 1 << 62
+
+
+class _Flow:
+    """Cheapest way to bring the supply of rows to the need of columns, whose sums are equal: shortest augmenting paths over
+    potentials, by which each unit of flow costs nothing and all else nothing or more."""
+
+    def __init__(self, costs, supply, need):
+        import numpy as np
+
+        self.np, self.costs, self.need = np, costs, need.copy()
+        self.u, self.v, self.flow = np.zeros(len(supply), np.int64), costs.min(axis=0), np.zeros(costs.shape, np.int64)
+        for row, left in enumerate(supply):
+            while left:
+                left -= self._push(row, int(left))
+
+    def _reach(self, row: int, ends, stop: int = _FAR, without: int | None = None):
+        """Nearest column of ``ends`` from ``row`` by way of columns and, against the flow, rows; none if it is ``stop`` or more away.
+
+        ``without`` is a column that ``row`` cannot go to at once. Gives the column with the rows and columns passed.
+        """
+        np = self.np
+        far, before, settled = np.full(len(self.v), _FAR), np.full(len(self.v), -1), np.zeros(len(self.v), bool)
+        rows, fresh = {row: (0, None)}, [row]
+        while True:
+            for r in fresh:
+                line = self.costs[r] - self.u[r] - self.v + rows[r][0]
+                if without is not None and r == row:
+                    line[without] = _FAR
+                nearer = ~settled & (line < far)
+                far[nearer], before[nearer] = line[nearer], r
+            at = int(np.where(settled, _FAR, far).argmin())
+            if far[at] >= stop:
+                return None
+            settled[at] = True
+            if ends[at]:
+                return at, far, before, settled, rows
+            fresh = [r for r in map(int, np.flatnonzero(self.flow[:, at])) if r not in rows]
+            rows.update((r, (int(far[at]), at)) for r in fresh)
+
+    def _push(self, row: int, most: int) -> int:
+        at, far, before, settled, rows = self._reach(row, self.need > 0)
+        way, column = [], at
+        while column is not None:
+            r = int(before[column])
+            way.append((r, column, rows[r][1]))
+            column = rows[r][1]
+        amount = min([most, int(self.need[at]), *(int(self.flow[r, back]) for r, _, back in way if back is not None)])
+        for r, to, back in way:
+            self.flow[r, to] += amount
+            if back is not None:
+                self.flow[r, back] -= amount
+        self.need[at] -= amount
+        for r, (base, _) in rows.items():
+            self.u[r] += far[at] - base
+        self.v[settled] -= far[at] - far[settled]
+        return amount
+
+    def needed(self, row: int, column: int, margin: int) -> bool:
+        """Whether the whole loses ``margin`` at least without the single unit from ``row`` to ``column``."""
+        return self._reach(row, self.np.arange(len(self.v)) == column, margin, column) is None
+
+
+def _components(edges: dict) -> list[list[tuple]]:
+    """Edges (left, right) parted into those that hang together."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in edges:
+        parent[root((0, a))] = root((1, b))
+    parts: dict = {}
+    for a, b in edges:
+        parts.setdefault(root((0, a)), []).append((a, b))
+    return list(parts.values())
+
+
+def _assigned(edges: list[tuple], lefts: dict, rights: dict, margin: float | None):
+    """Pairs of a one-to-one assignment of greatest weight; ``lefts`` and ``rights`` tell how many there are of a name, else it is one.
+
+    With ``margin`` only pairs of single names that cannot be given up for less. Of names that are alike in all edges each can take
+    the other's place, so pairs of several never are such; a component without single names on both sides is not solved.
+    """
+    import numpy as np
+
+    weight: dict = {}
+    for a, b, score in edges:
+        w = round(score * _UNIT)
+        if w > weight.get((a, b), 0):
+            weight[a, b] = w
+    for part in _components(weight):
+        if margin is not None and not any(lefts.get(a, 1) == 1 == rights.get(b, 1) for a, b in part):
+            continue
+        rows, columns = ({x: i for i, x in enumerate(sorted({e[k] for e in part}))} for k in (0, 1))
+        # The last row and column stand for none.
+        costs = np.full((len(rows) + 1, len(columns) + 1), _NEVER)
+        costs[-1], costs[:, -1] = 0, 0
+        for a, b in part:
+            costs[rows[a], columns[b]] = -weight[a, b]
+        supply, need = np.array([lefts.get(x, 1) for x in rows]), np.array([rights.get(x, 1) for x in columns])
+        solved = _Flow(costs, [*supply, need.sum()], np.array([*need, supply.sum()]))
+        for a, b in part:
+            if solved.flow[rows[a], columns[b]] and (margin is None or lefts.get(a, 1) == 1 == rights.get(b, 1) and solved.needed(rows[a], columns[b], round(margin * _UNIT))):
+                yield a, b, weight[a, b]
 
 
 def _heaviest(edges: list[tuple]) -> tuple[float, set]:
-    """Total and pairs of a one-to-one assignment of greatest weight; leaving a name unassigned weighs 0.
+    """Total and pairs of a one-to-one assignment of greatest weight; leaving a name unassigned weighs 0."""
+    pairs = list(_assigned(edges, {}, {}, None))
+    return sum(w for _, _, w in pairs) / _UNIT, {(a, b) for a, b, _ in pairs}
 
-    Shortest augmenting paths over potentials, each left name having a place of its own that stands for none.
-    """
-    lefts, rights = sorted({e[0] for e in edges}), sorted({e[1] for e in edges})
-    n, m = len(lefts), len(rights)
-    far = 1.0 + sum(abs(e[2]) for e in edges)
-    cost = [[far] * m + [0.0 if i == j else far for j in range(n)] for i in range(n)]
-    for a, b, s in edges:
-        cost[lefts.index(a)][rights.index(b)] = -s
-    u, v, owner = [0.0] * (n + 1), [0.0] * (m + n + 1), [0] * (m + n + 1)
-    for i in range(1, n + 1):
-        owner[0], j0 = i, 0
-        least, used, way = [float("inf")] * (m + n + 1), [False] * (m + n + 1), [0] * (m + n + 1)
-        while owner[j0]:
-            used[j0] = True
-            delta, j1 = float("inf"), 0
-            for j in range(1, m + n + 1):
-                if not used[j]:
-                    slack = cost[owner[j0] - 1][j - 1] - u[owner[j0]] - v[j]
-                    if slack < least[j]:
-                        least[j], way[j] = slack, j0
-                    if least[j] < delta:
-                        delta, j1 = least[j], j
-            for j in range(m + n + 1):
-                if used[j]:
-                    u[owner[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
-            j0 = j1
-        while j0:
-            owner[j0] = owner[way[j0]]
-            j0 = way[j0]
-    pairs = {(lefts[owner[j] - 1], rights[j - 1]) for j in range(1, m + 1) if owner[j] and cost[owner[j] - 1][j - 1] < 0}
-    return -sum(cost[lefts.index(a)][rights.index(b)] for a, b in pairs), pairs
-
-
-def assign(edges: list[tuple], margin: float = EDGE["margin"]) -> list[tuple]:
+
+def assign(edges: list[tuple], margin: float = EDGE["margin"], lefts: dict = {}, rights: dict = {}) -> list[tuple]:  # noqa: B006
     """One-to-one pairs of the greatest total weight from (left, right, score) edges, without those that can be given up for less
-    than ``margin`` of the total."""
-    total, pairs = _heaviest(edges)
-    return [p for p in sorted(pairs) if total - _heaviest([e for e in edges if (e[0], e[1]) != p])[0] >= margin]
+    than ``margin`` of the total. ``lefts`` and ``rights``: of how many that are alike a name is the first, else it stands alone."""
+    return sorted((a, b) for a, b, _ in _assigned(edges, lefts, rights, margin))
 
 
 def captions_to_floats(captions: DataFrame, floats: DataFrame) -> DataFrame:
-    """paper_id, kind, caption_id, float_id: the assignment of greatest weight per paper and kind, abstaining where it is close."""
+    """paper_id, kind, caption_id, float_id: the assignment of greatest weight per paper and kind, abstaining where it is close.
+
+    Captions, and floats, that lie on one place with one number are alike: they are assigned as one name of that many, and of them
+    none is told. Of several rows of an id the first by place counts.
+    """
+    place = ("page", "number", "x0", "y0", "x1", "y1")
+
+    def alike(rows: DataFrame) -> DataFrame:
+        one = rows.groupBy("paper_id", "kind", "id").agg(F.min(F.struct(*place)).alias("at"))
+        return one.groupBy("paper_id", "kind", "at").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size")).select("paper_id", "kind", "id", "at.*", "size")
 
     def run(pdf):
         import pandas as pd
 
-        got = assign(list(zip(pdf["caption_id"], pdf["float_id"], pdf["score"])))
+        sizes = (dict(zip(pdf[f"{side}_id"], pdf[size])) for side, size in (("caption", "c_size"), ("float", "f_size")))
+        got = assign(list(zip(pdf["caption_id"], pdf["float_id"], pdf["score"])), EDGE["margin"], *sizes)
         return pd.DataFrame([(pdf["paper_id"].iloc[0], pdf["kind"].iloc[0], a, b) for a, b in got], columns=["paper_id", "kind", "caption_id", "float_id"])
 
-    edges = caption_edges(captions, floats)
+    c, f = alike(captions), alike(floats)
+    for side in (c, f):
+        single = side.where("size = 1").select("paper_id", "kind").distinct()
+        c = c.join(single, ["paper_id", "kind"], "left_semi")
+    edges = caption_edges(c, f, "size")
     kinds = dict(edges.dtypes)
-    return edges.groupBy("paper_id", "kind").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in ("paper_id", "kind", "caption_id", "float_id")))
+    return edges.groupBy("paper_id", "kind").applyInPandas(run, ", ".join(f"{x} {kinds[x]}" for x in ("paper_id", "kind", "caption_id", "float_id")))
 
 
 def outline_headings(outline: DataFrame, headings: DataFrame, pages: int = 1, least: float = 0.8) -> DataFrame:

@@ -202,3 +202,27 @@ def test_captions_of_one_place(spark):
     captions = spark.createDataFrame([at(1, 1, 1, 300.0), at(2, 1, 1, 300.0), at(3, 9, 4, 300.0), at(3, 9, 4, 300.0)], box)
     floats = spark.createDataFrame([at(11, 1, 1, 270.0), at(12, 1, 2, 100.0), at(13, 9, 4, 270.0)], box)
     assert [tuple(r) for r in structure.captions_to_floats(captions, floats).select("caption_id", "float_id").collect()] == [(3, 13)]
+
+
+@pytest.mark.parametrize("block, close", [(3, 0.97), (2048, 0.9)])
+def test_names_matched_like_greedy_over_all_pairs(spark, monkeypatch, block, close):
+    from vellumine.functions.fuzzy import jaro_winkler_value
+
+    monkeypatch.setattr(metrics, "BLOCK", block)
+    monkeypatch.setattr(metrics, "CLOSE", close)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc d") for _ in range(rng.randint(1, 7)))
+    rows = [(rng.choice([1, 2, 3]), rng.choice(["gold", "pred"]), rng.choice([None, "", word(), word(), word().upper()])) for _ in range(150)] + [(9, "gold", "xbcdefghij"), (9, "pred", "Abcdefghij"), (4, "pred", "x")]
+    want = {}
+    for k in {r[0] for r in rows}:
+        names = [sorted(x[2].lower() for x in rows if x[0] == k and x[1] == s and x[2] is not None) for s in ("gold", "pred")]
+        pairs = sorted((-s, i, j) for i, a in enumerate(names[0]) for j, b in enumerate(names[1]) if (s := jaro_winkler_value(a, b)) >= 0.85)
+        golds, preds = set(), set()
+        for _, i, j in pairs:
+            if i not in golds and j not in preds:
+                golds.add(i)
+                preds.add(j)
+        n = [sum(x[0] == k and x[1] == s for x in rows) for s in ("gold", "pred")]
+        want[k] = round(2 * len(golds) / sum(n), 6) if n[0] else None
+    got = metrics.fuzzy_f1(spark.createDataFrame(rows, "id long, side string, item string"))
+    assert {r["id"]: r["f1"] for r in got.collect()} == pytest.approx(want) and want[9] == 1.0

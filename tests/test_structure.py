@@ -226,3 +226,11 @@ def test_names_matched_like_greedy_over_all_pairs(spark, monkeypatch, block, clo
         want[k] = round(2 * len(golds) / sum(n), 6) if n[0] else None
     got = metrics.fuzzy_f1(spark.createDataFrame(rows, "id long, side string, item string"))
     assert {r["id"]: r["f1"] for r in got.collect()} == pytest.approx(want) and want[9] == 1.0
+
+
+def test_names_of_large_keys(spark):
+    n, began = 12_000, time.monotonic()
+    names = spark.range(n).selectExpr("1L AS id", "'Person ' || id AS item", "id AS no")
+    rows = names.selectExpr("id", "'gold' AS side", "item").union(names.selectExpr("id", "'pred'", "IF(no % 2 = 0, item || 'x', item)"))
+    assert [tuple(r) for r in metrics.fuzzy_f1(rows).collect()] == [(1, 1.0)]
+    assert time.monotonic() - began < 100  # 144,000,000 pairs were compared in Python

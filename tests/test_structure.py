@@ -234,3 +234,12 @@ def test_names_of_large_keys(spark):
     rows = names.selectExpr("id", "'gold' AS side", "item").union(names.selectExpr("id", "'pred'", "IF(no % 2 = 0, item || 'x', item)"))
     assert [tuple(r) for r in metrics.fuzzy_f1(rows).collect()] == [(1, 1.0)]
     assert time.monotonic() - began < 100  # 144,000,000 pairs were compared in Python
+
+
+def test_sanity_of_long_papers(spark):
+    n, began = 200_000, time.monotonic()
+    rows = spark.range(n).selectExpr("1L AS paper_id", "id AS section_id", "CASE WHEN id = 5 THEN 'references' WHEN id = 9 THEN 'abstract' WHEN id % 7 = 0 THEN NULL ELSE 'methods' END AS section_type")
+    assert {r["section_id"] for r in structure.sane_sections(rows).where("section_type = 'unknown'").collect()} == {5, 9}
+    assert time.monotonic() - began < 60  # what comes after was summed anew for every section
+    few = spark.createDataFrame([(1, 1, "references"), (1, 2, "results"), (1, 3, None), (1, 4, None), (2, 1, "references"), (2, 2, None), (2, 3, None)], "paper_id long, section_id long, section_type string")
+    assert [r["section_type"] for r in structure.sane_sections(few).orderBy("paper_id", "section_id").collect()] == ["unknown", "results", None, None, "references", None, None]

@@ -33,11 +33,12 @@ def sane_sections(sections: DataFrame) -> DataFrame:
     """paper_id, section_id, section_type (W10): an abstract behind the first methods or results, and references in the first
     half with core sections still to come, become unknown. ``sections``: paper_id, section_id, section_type."""
     by = Window.partitionBy("paper_id")
-    upto, after = by.orderBy("section_id").rowsBetween(Window.unboundedPreceding, -1), by.orderBy("section_id").rowsBetween(1, Window.unboundedFollowing)
+    # What comes after is the whole less what came up to here; a frame up to the end would be summed anew for every row.
+    upto, here = (by.orderBy("section_id").rowsBetween(Window.unboundedPreceding, x) for x in (-1, 0))
     body, core = F.col("section_type").isin("methods", "results").cast("int"), F.col("section_type").isin(*CORE).cast("int")
     place, size = F.row_number().over(by.orderBy("section_id")), F.count(F.lit(1)).over(by)
     late = (F.col("section_type") == "abstract") & (F.coalesce(F.sum(body).over(upto), F.lit(0)) > 0)
-    early = (F.col("section_type") == "references") & (place * 2 <= size) & (F.coalesce(F.sum(core).over(after), F.lit(0)) > 0)
+    early = (F.col("section_type") == "references") & (place * 2 <= size) & (F.coalesce(F.sum(core).over(by) - F.coalesce(F.sum(core).over(here), F.lit(0)), F.lit(0)) > 0)
     return sections.select("paper_id", "section_id", F.when(late | early, "unknown").otherwise(F.col("section_type")).alias("section_type"))
 
 

@@ -243,3 +243,14 @@ def test_sanity_of_long_papers(spark):
     assert time.monotonic() - began < 60  # what comes after was summed anew for every section
     few = spark.createDataFrame([(1, 1, "references"), (1, 2, "results"), (1, 3, None), (1, 4, None), (2, 1, "references"), (2, 2, None), (2, 3, None)], "paper_id long, section_id long, section_type string")
     assert [r["section_type"] for r in structure.sane_sections(few).orderBy("paper_id", "section_id").collect()] == ["unknown", "results", None, None, "references", None, None]
+
+
+def test_characters_of_equal_places(spark):
+    n, began = 40_000, time.monotonic()
+    links = spark.range(n).selectExpr("id AS link_id", "1L AS page_id", "id % 3 AS x0", "0L AS y0", "IF(id = 0, NULL, 9L) AS x1", "9L AS y1").repartition(4)
+    chars = spark.range(n).selectExpr("id AS char_id", "1L AS page_id", "id % 10 AS x", "5.0D AS y")
+    got = structure.covered_counts(links, chars).groupBy("n").count().collect()
+    assert {r["n"]: r["count"] for r in got} == {n: 13_333, n * 9 // 10: 13_333, n * 8 // 10: 13_333}
+    assert time.monotonic() - began < 60  # each link met each character of its page
+    few = links.where("link_id < 9").union(links.where("link_id = 4")), chars.where("char_id < 20")
+    assert sorted(map(tuple, structure.covered_counts(*few).collect())) == sorted(map(tuple, structure.covered_chars(*few).groupBy("link_id").count().collect()))

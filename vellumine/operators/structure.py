@@ -294,6 +294,16 @@ def covered_chars(links: DataFrame, chars: DataFrame, cell: int = 50) -> DataFra
     return spread.join(placed, ["page_id", "gx", "gy"]).where(hit).select("link_id", "char_id")
 
 
+def covered_counts(links: DataFrame, chars: DataFrame) -> DataFrame:
+    """link_id, n (J17): of how many characters ``covered_chars`` has a row. Equal rectangles of a page are asked once, and equal
+    places of characters are met once, with their number; links without characters have no row."""
+    at, box = ("page_id", "x", "y"), ("page_id", "x0", "y0", "x1", "y1")
+    places = chars.groupBy(*at).agg(F.count(F.lit(1)).alias("k")).withColumn("char_id", F.col("k"))
+    boxes = links.select(*box).distinct().withColumn("link_id", F.struct(*box))
+    found = covered_chars(boxes, places).groupBy("link_id").agg(F.sum("char_id").alias("n")).select("link_id.*", "n")
+    return links.join(found, list(box)).groupBy("link_id").agg(F.sum("n").alias("n"))
+
+
 def free_spans(spans: DataFrame) -> DataFrame:
     """Spans (key, start, stop, priority) that no span of an earlier priority overlaps (J18); of one priority all stay."""
     a, b = spans.alias("a"), spans.select("key", "start", "stop", "priority").alias("b")

@@ -52,7 +52,7 @@ def outline_links(spark, sf_dir):
 
 
 def link_characters(spark, sf_dir):
-    return structure.covered_chars(made(spark, sf_dir, "rect"), made(spark, sf_dir, "char")).groupBy("link_id").agg(F.count(F.lit(1)).alias("n"))
+    return structure.covered_counts(made(spark, sf_dir, "rect"), made(spark, sf_dir, "char"))
 
 
 def spans_left(spark, sf_dir):

@@ -254,3 +254,10 @@ def test_characters_of_equal_places(spark):
     assert time.monotonic() - began < 60  # each link met each character of its page
     few = links.where("link_id < 9").union(links.where("link_id = 4")), chars.where("char_id < 20")
     assert sorted(map(tuple, structure.covered_counts(*few).collect())) == sorted(map(tuple, structure.covered_chars(*few).groupBy("link_id").count().collect()))
+
+
+def test_heading_keys_are_worked_out_once(spark):
+    head = spark.createDataFrame([(1, 1, "2. Materials and Methods"), (1, 2, "A B S T R A C T"), (1, 3, "Summary of results"), (1, 4, None)], "paper_id long, section_id long, header string")
+    typed = sections.type_sections(head)
+    assert [(r["section_type"], r["score"]) for r in typed.orderBy("section_id").collect()] == [("methods", 1.0), ("abstract", 1.0), ("abstract", 0.95), ("unknown", 0.0)]
+    assert "lambdafunction" not in typed._jdf.queryExecution().optimizedPlan().toString()

@@ -23,11 +23,11 @@ def type_sections(sections: DataFrame, aliases: tuple = ALIASES) -> DataFrame:
     A partial hit is trusted when the type's aliases cover three fifths of the heading. The alias table is fixed and small, so
     it stands in the expression and no row moves.
     """
-    h = heading_key(F.col("header"))
-    padded = F.concat(F.lit(" "), F.regexp_replace(h, "[^a-z]+", " "), F.lit(" "))
-    table = F.array(*(F.struct(F.lit(len(a)).alias("n"), F.lit(a).alias("alias"), F.lit(t).alias("type")) for a, t in aliases))
-    hit = F.array_max(F.filter(table, lambda x: padded.contains(F.concat(F.lit(" "), x["alias"], F.lit(" ")))))
-    out = sections.select("paper_id", "section_id", h.alias("h"), hit.alias("b"))
+    # The heading's key is a column of its own that each alias asks for; within a lambda it was worked out anew for every alias.
+    keyed = sections.select("paper_id", "section_id", heading_key(F.col("header")).alias("h"))
+    keyed = keyed.withColumn("padded", F.concat(F.lit(" "), F.regexp_replace("h", "[^a-z]+", " "), F.lit(" ")))
+    entry = lambda a, t: F.when(F.col("padded").contains(f" {a} "), F.struct(F.lit(len(a)).alias("n"), F.lit(a).alias("alias"), F.lit(t).alias("type")))
+    out = keyed.select("paper_id", "section_id", "h", F.greatest(*(entry(a, t) for a, t in aliases)).alias("b"))
     exact = F.col("h") == F.col("b.alias")
     return out.select(
         "paper_id", "section_id", F.coalesce("b.type", F.lit("unknown")).alias("section_type"), F.when(exact, 1.0).when(F.col("b").isNotNull(), 0.95).otherwise(0.0).alias("score"),

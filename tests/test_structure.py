@@ -261,3 +261,15 @@ def test_heading_keys_are_worked_out_once(spark):
     typed = sections.type_sections(head)
     assert [(r["section_type"], r["score"]) for r in typed.orderBy("section_id").collect()] == [("methods", 1.0), ("abstract", 1.0), ("abstract", 0.95), ("unknown", 0.0)]
     assert "lambdafunction" not in typed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_gates_count_words_once(spark):
+    texts = [(1, "kelp and moss 1 2"), (1, "kelp own"), (2, "moss Own2 alone"), (None, "alone tides"), (3, None), (4, "x - 1")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r["doc_id"], r["letters"]): (r["known"], r["passes"]) for r in front.text_gates(docs).collect()}
+    assert {k[0] for k in got} == {1, 2, 3, 4, None} and len(got) == 6
+    # Text 1: kelp, and, moss, kelp, own; only moss and own are in text 2. Text 2: alone is in the text without a key.
+    assert {v for k, v in got.items() if k[0] == 1} == {(0.4, True)} and got[2, 0.923077] == (1.0, True)
+    assert all(not v[1] and v[0] is None for k, v in got.items() if k[0] in (3, 4, None))
+    assert front.text_gates(docs)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert front.text_gates(docs.where("false")).count() == 0

@@ -66,14 +66,18 @@ def canonical_label(text: Column, table: dict[str, str]) -> Column:
 
 def text_gates(docs: DataFrame, least_letters: float = 0.5, least_known: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, letters, known, passes (T31): the share of letters among characters that are no blanks, and of a text's words that another
-    text has too; a text without words does not pass. Words are counted over all texts."""
+    text has too; a text without words does not pass. Words are counted over all texts.
+
+    A word is a text's own if the first and the last key that have it are one. Only those are counted by text, so that what is
+    shuffled are the words of a task and not those of each text."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"), lambda w: F.length(w) > 1)
-    rows = docs.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    spread = rows.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
-    known = rows.join(spread, "word").groupBy(key).agg((F.sum(F.when(F.col("texts") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("known"))
+    spread = docs.select(key, F.explode(words).alias("word")).groupBy("word").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count(F.lit(1)).alias("n"), F.count(key).alias("keyed"))
+    own = spread.where("low = high AND keyed = n").groupBy(F.col("low").alias(key)).agg(F.sum("n").alias("own"))
     solid = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\s\p{Z}]+", "")
     share = F.when(F.length(solid) > 0, F.length(F.regexp_replace(solid, r"\P{L}+", "")) / F.length(solid)).otherwise(0.0)
-    out = docs.select(key, F.round(share, 6).alias("letters")).join(known, key, "left")
+    # Repeats of a key are one text.
+    out = docs.select(key, F.round(share, 6).alias("letters"), F.size(words).alias("n")).withColumn("n", F.sum("n").over(Window.partitionBy(key))).join(own, key, "left")
+    out = out.withColumn("known", F.when(F.col(key).isNotNull() & (F.col("n") > 0), (F.col("n") - F.coalesce("own", F.lit(0))) / F.col("n")))
     return out.select(key, "letters", F.round("known", 6).alias("known"), F.coalesce((F.col("letters") >= least_letters) & (F.col("known") >= least_known), F.lit(False)).alias("passes"))
 
 

@@ -172,3 +172,36 @@ def test_quality_of_numbered_lists_of_any_length(spark):
     lines = [f"{n}. Alder, A. ({1990 + n % 30}). A title of a work. J Kelp, 1, 2-3." for n in range(1, 1103)]
     got = fulltext.list_quality(fulltext.reference_entries(spark.createDataFrame([(1, "\n".join(lines))], "paper_id long, text string"))).collect()
     assert [(r["n_entries"], r["quality"]) for r in got] == [(1102, 1.0)]
+
+
+def test_arrow_batches_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from vellumine.functions import arrow, fuzzy
+    from vellumine.operators import fulltext
+    from vellumine.sources import html
+
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(1, "see https://a.example/x")], "page_id long, html string")
+    for use in (lambda: fulltext.find_links("html"), lambda: unicode.nfc("html"), lambda: fuzzy.ratio("html", "html"), lambda: html.read_pages(docs)):
+        for key in keys:
+            spark.conf.unset(key)
+        use()
+        assert [spark.conf.get(k) for k in keys] == [str(arrow.BATCH_ROWS), str(arrow.BATCH_BYTES)]
+    spark.conf.set(keys[0], "100")
+    assert docs.select(F.size(fulltext.find_links("html")).alias("n")).first()["n"] == 1 and spark.conf.get(keys[0]) == "100"
+    spark.conf.unset(keys[0])
+    for plain in ("{a} } $x$ {", "a {b"):
+        assert unicode.unwrap_value(plain) == plain.replace("$", "")
+    assert unicode.unwrap_value(r"{\emph{a {b} c}} \% {") == "{a b c} % {".replace("{a", "{a")
+
+
+def test_dates_are_read_where_four_digits_are(spark):
+    from vellumine.functions import dates
+    from vellumine.functions import text as T
+
+    printed = ["2020-05-01", "12 May 2020", "٢٠٢٠", "no 123", "x 12345 y", "Published 1 May 2019, 2 June 2020", None, "", " 1999 ", "𝟐𝟎𝟐𝟎-05", "May 20"]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(printed)], "i long, printed string")
+    got = rows.select("i", T.iso_date(rows["printed"]).alias("iso"))
+    assert [r["iso"] for r in got.orderBy("i").collect()] == [dates.iso_date_value(p) for p in printed]
+    assert "RLIKE" in got._jdf.queryExecution().optimizedPlan().toString()

@@ -23,6 +23,7 @@ def arrow_udf(run, schema: str):
     """``run`` as a function of Columns that gives ``schema``."""
 
     def call(*columns) -> Column:
+        bounded_batches()
         return F.udf(run, schema, useArrow=True)(*columns)
 
     return call

@@ -379,6 +379,9 @@ def read_papers(files: DataFrame, *keep: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    from ..functions.arrow import bounded_batches
+
+    bounded_batches(files.sparkSession)
     rows = paper_ids(files).select("paper_id", "sha256", sniff(F.col("content")).alias("kind"), *keep, "content")
     kept = "".join(f"`{c}` {t}, " for c, t in rows.dtypes if c in keep)
     schema = _parse_datatype_string(f"paper_id string, sha256 string, kind string, {kept}{PAPER}")

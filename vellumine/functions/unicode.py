@@ -7,13 +7,14 @@ import re
 import unicodedata
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from .arrow import arrow_udf
 
 _LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i"}
 
 
 def _text(run):
-    return lambda c: F.udf(lambda s: None if s is None else run(s), "string", useArrow=True)(c)
+    return arrow_udf(lambda s: None if s is None else run(s), "string")
 
 
 def fold_value(s: str) -> str:
@@ -56,6 +57,8 @@ def unwrap_value(s: str) -> str:
     """LaTeX commands replaced by their arguments, however deeply nested, and mathematics by its content; a dollar sign before a digit is money."""
     t = re.sub(r"\$([^$0-9\n][^$\n]*)\$", r"\1", s)
     t = re.sub(r"\\begin\{[^{}]*\}|\\end\{[^{}]*\}", "", t)
+    if "\\" not in t:
+        return t
     out, i, depth = [], 0, []
     while i < len(t):
         m = re.compile(r"\\[a-zA-Z]+\*?\s*(?:\[[^\]]*\])?").match(t, i) if t[i] == "\\" else None

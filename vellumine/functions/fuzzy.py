@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from .arrow import arrow_udf
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -83,11 +84,7 @@ def jaro_winkler_value(a: str | None, b: str | None) -> float:
 
 
 def _arrow(f):
-    @F.udf(returnType="double", useArrow=True)
-    def run(a, b):
-        return f(a, b)
-
-    return run
+    return arrow_udf(f, "double")
 
 
 def ratio(a, b) -> Column:
@@ -107,8 +104,8 @@ def jaro_winkler(a, b) -> Column:
 
 
 def sorted_key(a) -> Column:
-    return F.udf(sorted_tokens, "string", useArrow=True)(a)
+    return arrow_udf(sorted_tokens, "string")(a)
 
 
 def numbered_bigrams(a) -> Column:
-    return F.udf(bigram_places, "array<string>", useArrow=True)(a)
+    return arrow_udf(bigram_places, "array<string>")(a)

@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrow import bounded_batches
+from ..functions.arrow import arrow_udf, bounded_batches
 
 
 def tokens(text: Column) -> Column:
@@ -321,7 +321,7 @@ def rouge_l_value(gold: str | None, pred: str | None) -> float | None:
 
 
 def rouge_l(gold, pred) -> Column:
-    return F.udf(rouge_l_value, "double", useArrow=True)(gold, pred)
+    return arrow_udf(rouge_l_value, "double")(gold, pred)
 
 
 def presence(gold: Column, pred: Column, least: int = 20, share: float = 0.5) -> Column:

@@ -205,3 +205,37 @@ def test_dates_are_read_where_four_digits_are(spark):
     got = rows.select("i", T.iso_date(rows["printed"]).alias("iso"))
     assert [r["iso"] for r in got.orderBy("i").collect()] == [dates.iso_date_value(p) for p in printed]
     assert "RLIKE" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_roles_are_not_lost_by_their_stems(spark):
+    import random
+    import re
+
+    from vellumine.functions import text as T
+
+    def printed(pattern):
+        """One of the texts that a pattern of plain alternatives finds."""
+        pattern = re.sub(r"\[\\s–—-\]\+", lambda _: rng.choice(["-", " ", " – "]), pattern).replace("\\b", "").replace("\\w*", "ed").replace("\\s+", " ")
+        while m := re.search(r"\(\?:([^()]*)\)(\??)", pattern):
+            pattern = pattern[: m.start()] + rng.choice(m[1].split("|") + [""] * bool(m[2])) + pattern[m.end() :]
+        return re.sub(r"\[(\w+)\]", lambda m: rng.choice(m[1]), pattern).replace("s?", "s")
+
+    rng = random.Random(8)
+    made = []
+    for slug, words in T.CREDIT:
+        depth, parts, at = 0, [], 0
+        for i, c in enumerate(words + "|"):
+            depth += (c == "(") - (c == ")")
+            if c == "|" and not depth:
+                parts.append(words[at:i])
+                at = i + 1
+        for part in parts:
+            for _ in range(30):
+                t = printed(part)
+                assert re.search(words, t), (slug, part, t)
+                made.append((slug, f"They {t} it"))
+    got = spark.createDataFrame(made, "slug string, printed string")
+    got = got.select("slug", "printed", T.credit_roles(got["printed"]).alias("roles")).collect()
+    assert [(r["slug"], r["printed"]) for r in got if r["slug"] not in r["roles"]] == []
+    assert all(r["roles"] == [s for s, w in T.CREDIT if re.search(w, r["printed"].lower())] for r in got)
+    assert set(T.STEMS) == {s for s, _ in T.CREDIT}

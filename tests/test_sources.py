@@ -275,3 +275,10 @@ def test_made_files_are_the_same_at_any_time(spark, monkeypatch):
     assert made[2001] == made[2002]
     files = spark.createDataFrame([(f"a/{i}", made[2001][i], i) for i in range(4)], "path string, content binary, no long")
     assert [(r["no"], r["kind"], len(r["blocks"])) for r in papers.read_papers(files, "no").orderBy("no").collect()] == [(0, "jats", 3), (1, "html", 3), (2, "docx", 3), (3, "epub", 3)]
+
+
+def test_made_pages_are_dealt_out(spark, sf_dir):
+    from vellumine.plans import source_queries
+
+    cells = source_queries.table_cells(spark, sf_dir)
+    assert cells.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism

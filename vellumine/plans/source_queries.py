@@ -141,7 +141,9 @@ def extraction_scores(spark, sf_dir):
 def table_cells(spark, sf_dir):
     """Tables of made pages, with spans, as matrices of cells."""
     page = F.expr("'<html><body><table><tr><td rowspan=2>a' || p_partkey || '<td colspan=2>b<tr><td>' || p_size || '<td>d<br>e<tr hidden><td>no<tr><td>x' || (p_size % 3) || '</table></body></html>'")
-    rows = html.read_pages(_read(spark, sf_dir, "part").select("p_partkey", page.alias("html")), "p_partkey").select("p_partkey", F.posexplode(F.col("tables")[0]).alias("r", "cells"))
+    # A small file is one task; its pages are dealt out before they are made.
+    parts = _read(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(4 * spark.sparkContext.defaultParallelism, "p_partkey")
+    rows = html.read_pages(parts.select("p_partkey", page.alias("html")), "p_partkey").select("p_partkey", F.posexplode(F.col("tables")[0]).alias("r", "cells"))
     return rows.select("p_partkey", F.col("r").cast("long").alias("r"), F.posexplode("cells").alias("c", "cell")).select("p_partkey", "r", F.col("c").cast("long").alias("c"), "cell")
 
 

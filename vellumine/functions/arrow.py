@@ -12,7 +12,7 @@ BATCH_BYTES, BATCH_ROWS = 8 << 20, 1024
 
 def bounded_batches(spark: SparkSession | None = None) -> None:
     """Keep the session's Arrow batches small in bytes; user settings that are smaller still stay."""
-    spark = spark or SparkSession.getActiveSession()
+    spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         have = spark.conf.get(key).rstrip("b")
         if not have.isdigit() or not 0 < int(have) <= most:
